@@ -6,10 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import WHITE
-from idloom.operators import seen, skew, wide
+from idloom.operators import hierarchy, seen, skew, wide
 from idloom.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.circles(hierarchy.edges_of(table(spark, d, "ufid_archive_member"))).select(F.col("node").alias("file_id"))
+
+
+def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, d, "ufid_archive_member"))
+
+
+def p1_depths(spark: SparkSession, d: str) -> DataFrame:
+    return p1_hierarchy(spark, d).drop("full_path")
+
+
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, d, "ufid_archive_member"))
+
+
+def p1_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return p1_descendants(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_members"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(table(spark, d, "file_observation"), table(spark, d, "ufid_file")).where("seen").select("obs_id")
 
@@ -64,7 +84,18 @@ _SEEN = f"""WITH o AS (SELECT * FROM (SELECT obs_id, {_KEY} FROM file_observatio
 """
 _PARTNERS = "SELECT {a}, count(*) AS n_rows, count(DISTINCT {b}) AS {n} FROM ufid_archive_member WHERE {a} IS NOT NULL GROUP BY {a}"
 
+_EDGES = "SELECT DISTINCT parent_file_id AS p, child_file_id AS c FROM ufid_archive_member WHERE parent_file_id IS NOT NULL AND child_file_id IS NOT NULL"
+_REACH = f"WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), r(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM r JOIN e ON r.b = e.p)"
+
 SQL = {
+    "p1_found": _REACH + " SELECT a AS file_id FROM r WHERE a = b",
+    "p1_descendants": _REACH + " SELECT a AS file_id, b AS member_id FROM r",
+    "p1_subtree_sizes": _REACH + " SELECT a AS file_id, count(*) AS n_members FROM r GROUP BY a",
+    "p1_depths": _REACH
+    + """, ring AS MATERIALIZED (SELECT a FROM r WHERE a = b), g AS MATERIALIZED (SELECT * FROM e WHERE c NOT IN (SELECT a FROM ring)),
+ n AS (SELECT p AS node FROM e UNION SELECT c FROM e), w(node, depth, root) AS (SELECT node, 0, node FROM n WHERE node NOT IN (SELECT c FROM g) UNION SELECT g.c, depth + 1, root FROM w JOIN g ON w.node = g.p),
+ b AS (SELECT node, min((depth, root)) AS m FROM w GROUP BY node)
+SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN node NOT IN (SELECT a FROM ring) THEN m[1] END AS depth, CASE WHEN node NOT IN (SELECT a FROM ring) THEN m[2] END AS root_file_id FROM b""",
     "p2_found": _SEEN + "SELECT obs_id FROM s WHERE seen",
     "p2_seen": _SEEN + "SELECT obs_id, seen FROM s",
     "p4_found": "WITH t AS (SELECT count(*) AS n FROM ufid_archive_member), "
@@ -119,4 +150,4 @@ SQL["p6_found"] = _CELLS + "SELECT file_id, attribute, CASE WHEN n = 0 THEN 'unr
 _WIDE = {"number": "track_count page_count width_px height_px sector_count volume_number duration_seconds bitrate_kbps", "date": "release_date dumped_at modified_at scanned_on", "txt": "filename title creator publisher platform description comment content_type source ia_identifier ia_item_url alias"}
 SQL["p6_wide"] = _CELLS + "SELECT file_id, " + ", ".join(f"any_value({ {'number': 'num', 'date': 'day'}.get(k, k)}) FILTER (attribute = '{a}') AS {a}" for k, v in _WIDE.items() for a in v.split()) + " FROM s GROUP BY file_id"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_seen, p2_error_rates, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p1_subtree_sizes, p2_found, p2_seen, p2_error_rates, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p6_found, p6_wide)}
