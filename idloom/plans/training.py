@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import WHITE
-from idloom.operators import hierarchy, seen, skew, wide
+from idloom.operators import hierarchy, seen, shred, skew, wide
 from idloom.session import table
 
 
@@ -62,6 +62,41 @@ def p4_second_level(spark: SparkSession, d: str) -> DataFrame:
     return out.select("parent_file_id", F.col("n_rows").cast("long"), F.col("n_bytes").cast("string").alias("n_bytes"))
 
 
+_RECORDS = {"ia_ingest_item": ("item", "identifier", ["identifier"]), "ia_ingest_file": ("file", "item_identifier", ["item_identifier", "name"])}
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [shred.file_objects(table(spark, d, t), *how).select(F.lit(t).alias("table_name"), "identifier", "file_path") for t, how in _RECORDS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def _flat(spark: SparkSession, d: str, element: str, tables: list[str]) -> DataFrame:
+    """One element's rows of the tables named, in one shape; their own fields as JSON."""
+    parts = []
+    for t in tables:
+        rows = shred.shred(table(spark, d, t), *_RECORDS[t]).where(F.col("element") == element)
+        parts.append(rows.select(F.lit(t).alias("table_name"), "row_id", "parent_element", "parent_row_id", "identifier", "name", "file_path", F.to_json("fields").alias("fields")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def p5_items(spark: SparkSession, d: str) -> DataFrame:
+    how = _RECORDS["ia_ingest_item"]
+    records = table(spark, d, "ia_ingest_item")
+    return shred.flat_table(shred.shred(records, *how), shred.plan_of(records, "item"), "item")
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "file", list(_RECORDS))
+
+
+def p5_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "review", ["ia_ingest_item"])
+
+
+def p5_replies(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "reply", ["ia_ingest_item"])
+
+
 def _columns(spark: SparkSession, d: str, *kinds: str) -> list[tuple[str, str]]:
     return [c for c in wide.wide_columns(table(spark, d, "wide_column")) if not kinds or c[1] in kinds]
 
@@ -150,4 +185,4 @@ SQL["p6_found"] = _CELLS + "SELECT file_id, attribute, CASE WHEN n = 0 THEN 'unr
 _WIDE = {"number": "track_count page_count width_px height_px sector_count volume_number duration_seconds bitrate_kbps", "date": "release_date dumped_at modified_at scanned_on", "txt": "filename title creator publisher platform description comment content_type source ia_identifier ia_item_url alias"}
 SQL["p6_wide"] = _CELLS + "SELECT file_id, " + ", ".join(f"any_value({ {'number': 'num', 'date': 'day'}.get(k, k)}) FILTER (attribute = '{a}') AS {a}" for k, v in _WIDE.items() for a in v.split()) + " FROM s GROUP BY file_id"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p1_subtree_sizes, p2_found, p2_seen, p2_error_rates, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p1_subtree_sizes, p2_found, p2_seen, p2_error_rates, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p5_found, p5_items, p5_files, p5_reviews, p5_replies, p6_found, p6_wide)}
