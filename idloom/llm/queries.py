@@ -1,0 +1,31 @@
+"""Queries of the operators on training text, with SQL where it can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from idloom.llm import leakage
+from idloom.session import table
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Passages to remove, merged where those of several items meet."""
+    return leakage.removal_spans(_leaks(spark, d))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    leaked = _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("share").alias("largest_share"))
+    return table(spark, d, "eval_item").select("item_id").join(leaked, "item_id", "left").fillna(0, ["n_documents"])
+
+
+SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items)}
