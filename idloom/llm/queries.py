@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm import leakage
+from idloom.llm import leakage, mixing
 from idloom.session import table
 
 
@@ -27,5 +27,25 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_item").select("item_id").join(leaked, "item_id", "left").fillna(0, ["n_documents"])
 
 
+def _mix(spark: SparkSession, d: str):
+    return mixing.prepared(table(spark, d, "documents")), mixing.targets_of(table(spark, d, "mix_target"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shortages(*_mix(spark, d)).where("missing_tokens > 0").select("source")
+
+
+def p8_shortages(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shortages(*_mix(spark, d))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(*_mix(spark, d))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mix(spark, d))
+
+
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items, p8_found, p8_shortages, p8_mixture, p8_report)}
