@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm import leakage, mixing
-from idloom.session import table
+from idloom.llm import langid, leakage, mixing
+from idloom.session import Scratch, table
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,12 @@ def _mix(spark: SparkSession, d: str):
     return mixing.prepared(table(spark, d, "documents")), mixing.targets_of(table(spark, d, "mix_target"))
 
 
+def _kept(spark: SparkSession, d: str):
+    """The same with token counts written once, for queries that need them again."""
+    docs, targets = _mix(spark, d)
+    return Scratch(spark).save(docs, "tokens"), targets
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shortages(*_mix(spark, d)).where("missing_tokens > 0").select("source")
 
@@ -40,12 +46,34 @@ def p8_shortages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(*_mix(spark, d))
+    return mixing.mixture(*_kept(spark, d))
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(*_mix(spark, d))
+    return mixing.report(*_kept(spark, d))
+
+
+#: Labelled texts a language for the prototypes.
+SAMPLE = 300
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.document_languages(docs, langid.fit(langid.sample_of(docs, SAMPLE)))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, d)).select("doc_id", "lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select("doc_id", "label", F.explode_outer("langs").alias("x")).select("doc_id", "label", "x.lang", "x.share", "x.confidence")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.language_segments(docs, langid.fit(langid.sample_of(docs, SAMPLE)))
 
 
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items, p8_found, p8_shortages, p8_mixture, p8_report)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items, p8_found, p8_shortages, p8_mixture, p8_report, p9_found, p9_languages, p9_segments)}
