@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.llm import langid, leakage, mixing
+from idloom.llm import langid, leakage, mixing, mojibake
 from idloom.session import Scratch, table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    members, meta = table(spark, d, "ufid_archive_member"), table(spark, d, "ufid_file_meta")
+    return mojibake.rows_of(members, "ufid_archive_member", "id", "archive_path").unionByName(mojibake.rows_of(meta, "ufid_file_meta", "id", "value"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(_texts(spark, d)).select("table_name", "row_id")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(_texts(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -76,4 +89,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {}
-QUERIES = {f.__name__: f for f in (p7_found, p7_spans, p7_items, p8_found, p8_shortages, p8_mixture, p8_report, p9_found, p9_languages, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_restored, p7_found, p7_spans, p7_items, p8_found, p8_shortages, p8_mixture, p8_report, p9_found, p9_languages, p9_segments)}
