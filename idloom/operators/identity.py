@@ -1,0 +1,131 @@
+"""Exact identities: finding, consolidating, enriching, and their conflicts.
+
+An identity is (size_bytes, crc32, md5, sha1); sha256 and blake3 are enrichment.
+State is given and returned as DataFrames; nothing is changed in place.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from idloom.functions.hashes import OPTIONAL, REQUIRED, clean_hash
+from idloom.functions.scalars import identity_error
+from idloom.operators.joins import lookup, numbered
+
+KEY = ["size_bytes", *REQUIRED]
+
+
+def cleaned(observations: DataFrame, order: str = "obs_id") -> DataFrame:
+    """(seq, size_bytes, hashes, error, and the other columns) of observations."""
+    have = set(observations.columns)
+    hashes = {a: clean_hash(F.col(a)) if a in have else F.lit(None).cast("string") for a in (*REQUIRED, *OPTIONAL)}
+    rest = [F.col(c) for c in observations.columns if c not in (*hashes, "size_bytes", order)]
+    df = observations.select(F.col(order).cast("long").alias("seq"), F.col("size_bytes").cast("long").alias("size_bytes"), *[h.alias(a) for a, h in hashes.items()], *rest)
+    return df.withColumn("error", identity_error(F.col("size_bytes"), {a: F.col(a) for a in hashes}))
+
+
+def probe(observations: DataFrame, files: DataFrame) -> DataFrame:
+    """Observations with ``file_id`` of the stored identity, null if there is none."""
+    stored = files.groupBy(*KEY).agg(F.min("id").alias("file_id"))
+    return lookup(observations, stored, KEY)
+
+
+def overlap_classes(files: DataFrame) -> DataFrame:
+    """(size_bytes, algorithm, value, file_id, first_file_id, n_files): files that
+    share the size and one required hash with a file of another identity.
+
+    One row for each file and shared value, with the oldest file that has it, in
+    place of all pairs, so a value that many files share costs a row each.
+    """
+    ids = files.groupBy(*KEY).agg(F.min("id").alias("file_id"))
+    each = ids.select("size_bytes", "file_id", F.explode(F.create_map(*[x for a in REQUIRED for x in (F.lit(a), F.col(a))])).alias("algorithm", "value")).where("value is not null")
+    groups = each.groupBy("size_bytes", "algorithm", "value").agg(F.min("file_id").alias("first_file_id"), F.count(F.lit(1)).alias("n_files")).where("n_files > 1")
+    return each.join(groups, ["size_bytes", "algorithm", "value"])
+
+
+@dataclass
+class Imported:
+    """What an import gives: all files after it, one report row an observation,
+    and the conflicts it logs."""
+
+    files: DataFrame
+    report: DataFrame
+    conflicts: DataFrame
+
+
+def consolidate(files: DataFrame, meta: DataFrame, observations: DataFrame, entries: Column) -> Imported:
+    """Apply cleaned observations in the order of ``seq`` to stored files.
+
+    The first observation of a new identity creates it. An optional hash is
+    stored by the first observation that has it and contradicts no optional hash
+    stored by then; one that contradicts is rejected as a conflict and gives
+    nothing, neither its other hash nor metadata. An accepted observation of a
+    known identity is enriched if it fills an optional hash or brings a metadata
+    row (``entries``: array of metadata_type, name, value, notes) not yet there,
+    else unchanged. Rows with an error are reported with it.
+
+    No group is gathered: an identity's two optional hashes are set at most once
+    each, so three aggregates with map-side combine find who sets them.
+    """
+    good = probe(observations.where("error is null").withColumn("entries", entries), files)
+    stored = files.groupBy(*KEY).agg(*[F.max_by(o, "id").alias(f"old_{o}") for o in OPTIONAL])
+    s, b = OPTIONAL
+    # who comes first with any optional hash, or with one that fits what is stored
+    fit = lambda: (F.coalesce(F.col(s) == F.col(f"old_{s}"), F.lit(True)) & F.coalesce(F.col(b) == F.col(f"old_{b}"), F.lit(True)))
+    base = lookup(good, stored, KEY)
+    adds = (F.col(s).isNotNull() & F.col(f"old_{s}").isNull()) | (F.col(b).isNotNull() & F.col(f"old_{b}").isNull())
+    setter = F.when(fit() & adds, F.struct("seq", s, b))
+    first = base.groupBy(*KEY).agg(F.min("seq").alias("first_seq"), F.min(setter).alias("one"))
+    one = lookup(base, first, KEY)
+    cur = {o: F.coalesce(F.col(f"old_{o}"), F.col("one")[o]) for o in OPTIONAL}
+    # a second one may fill the hash that the first left open
+    later = (F.col("seq") > F.col("one")["seq"]) & F.coalesce(F.col(s) == cur[s], F.lit(True)) & F.coalesce(F.col(b) == cur[b], F.lit(True))
+    fills = (F.col(s).isNotNull() & cur[s].isNull()) | (F.col(b).isNotNull() & cur[b].isNull())
+    second = one.groupBy(*KEY).agg(F.min(F.when(later & fills, F.struct("seq", s, b))).alias("two"))
+    full = lookup(one, second, KEY)
+    at = {o: F.coalesce(F.col(f"old_{o}"), F.when(F.col("one")["seq"] < F.col("seq"), F.col("one")[o]), F.when(F.col("two")["seq"] < F.col("seq"), F.col("two")[o])) for o in OPTIONAL}
+    clash = {o: F.coalesce(F.col(o) != at[o], F.lit(False)) for o in OPTIONAL}
+    full = full.withColumns({f"at_{o}": at[o] for o in OPTIONAL} | {"rejected": clash[s] | clash[b]})
+    new = F.col("file_id").isNull() & (F.col("seq") == F.col("first_seq"))
+    filled = (F.col("seq") == F.col("one")["seq"]) | (F.col("seq") == F.col("two")["seq"])
+    rows = full.where("not rejected").select(*KEY, "file_id", "seq", F.explode("entries").alias("e")).select(*KEY, "file_id", "seq", "e.*").withColumn("notes", F.coalesce("notes", F.lit("")))
+    firsts = rows.groupBy(*KEY, "metadata_type", "name", "value", "notes").agg(F.min("seq").alias("seq"), F.first("file_id").alias("file_id"))
+    known = meta.select("file_id", "metadata_type", "name", "value", F.coalesce("notes", F.lit("")).alias("notes")).distinct()
+    fresh = firsts.join(known, ["file_id", "metadata_type", "name", "value", "notes"], "left_anti").select("seq").distinct().withColumn("fresh", F.lit(True))
+    judged = full.join(fresh, "seq", "left")
+    status = F.when(F.col("rejected"), "conflict").when(new, "created").when(F.coalesce(filled, F.lit(False)) | F.col("fresh").isNotNull(), "enriched").otherwise("unchanged")
+    ok = judged.select("seq", status.alias("status"), F.lit(None).cast("string").alias("error"))
+    report = ok.unionByName(observations.where("error is not null").select("seq", F.lit("error").alias("status"), "error"))
+    ends = full.groupBy(*KEY).agg(F.min("file_id").alias("file_id"), F.min("first_seq").alias("first_seq"), *[F.max(F.coalesce(F.col(f"old_{o}"), F.col("one")[o], F.col("two")[o])).alias(o) for o in OPTIONAL])
+    top = files.agg(F.max("id")).first()[0] or 0
+    created = numbered(ends.where("file_id is null"), [F.col("first_seq")], "id", top + 1).select("id", *KEY, *OPTIONAL)
+    seen = ends.where("file_id is not null").select(F.col("file_id").alias("id"), *[F.col(o).alias(f"new_{o}") for o in OPTIONAL])
+    kept = files.join(seen, "id", "left").select("id", *KEY, *[F.coalesce(o, f"new_{o}").alias(o) for o in OPTIONAL])
+    one_each = F.explode(F.array_compact(F.array(*[F.when(clash[o], F.struct(F.lit(o).alias("algorithm"), F.col(f"at_{o}").alias("existing_value"), F.col(o).alias("incoming_value"))) for o in OPTIONAL])))
+    ids = created.select(*KEY, F.col("id").alias("new_id"))
+    conflicts = full.where("rejected").select("seq", "file_id", *KEY, one_each.alias("c")).select("seq", "file_id", *KEY, "c.*")
+    conflicts = conflicts.join(ids, KEY, "left").select("seq", F.coalesce("file_id", "new_id").alias("file_id"), F.lit("optional_hash_mismatch").alias("conflict_type"), "algorithm", "existing_value", "incoming_value")
+    return Imported(kept.unionByName(created), report, conflicts)
+
+
+def append_missing(state: DataFrame, incoming: DataFrame, key: list[str], id_column: str = "id") -> DataFrame:
+    """Rows of ``incoming`` whose key is not in ``state``, one for each key, with
+    ids that follow on; null is equal to null."""
+    marks = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, k in enumerate(key)]
+    ks = [f"_k{i}" for i in range(len(key))]
+    fresh = incoming.select("*", *marks).dropDuplicates(ks).join(state.select(*marks).distinct(), ks, "left_anti").drop(*ks)
+    top = state.agg(F.max(id_column)).first()[0] or 0
+    return numbered(fresh.drop(id_column) if id_column in fresh.columns else fresh, [F.col(k) for k in key], id_column, top + 1)
+
+
+def drop_cascade(gone: DataFrame, id_column: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> dict[str, DataFrame]:
+    """Tables without the rows that point, by any of their columns, to what is gone."""
+    out = {}
+    for name, (df, columns) in tables.items():
+        for c in columns:
+            df = df.join(gone.select(F.col(id_column).alias(c)).distinct(), c, "left_anti")
+        out[name] = df
+    return out

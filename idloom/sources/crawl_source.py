@@ -1,0 +1,146 @@
+"""Crawl records as tables, and a paged search as a data source.
+
+The search source pages by cursor through any function that gives pages, so it
+is tested with a fake and needs no network.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+
+FILE = "struct<name:string,source:string,format:string,size:string,md5:string,sha1:string,crc32:string,mtime:string>"
+ITEM = f"struct<metadata:struct<identifier:string,title:string,mediatype:string,collection:string>,files:array<{FILE}>>"
+LEAST_PAGE = 100
+RETRY_STATUS = (429, 500, 502, 503, 504)
+
+
+def item_files(items: DataFrame, json_column: str = "metadata_json") -> DataFrame:
+    """(identifier, name, source, format, size_bytes, md5, sha1, crc32, mtime) of
+    records with a plain list of files; files without a name are left out."""
+    rec = F.from_json(F.col(json_column), ITEM)
+    rows = items.select("identifier", F.explode(rec["files"]).alias("f")).where("f.name is not null")
+    text = lambda n: F.nullif(F.trim(F.col(f"f.{n}")), F.lit(""))
+    return rows.select("identifier", F.col("f.name").alias("name"), text("source").alias("source"), text("format").alias("format"), F.col("f.size").try_cast("long").alias("size_bytes"), *[F.lower(text(h)).alias(h) for h in ("md5", "sha1", "crc32")], F.col("f.mtime").try_cast("long").alias("mtime"))
+
+
+def collections(items: DataFrame, json_column: str = "metadata_json") -> DataFrame:
+    """(identifier, collection): an item's collections, given as one text or a list."""
+    c = F.get_json_object(F.col(json_column), "$.metadata.collection")
+    many = F.from_json(c, "array<string>")
+    return items.select("identifier", F.explode(F.coalesce(F.when(c.startswith("["), many), F.when(c != "", F.array(c)))).alias("collection"))
+
+
+def backoff_seconds(attempt: int, base: float = 1.0, most: float = 60.0) -> float:
+    """Doubling waits with a greatest one."""
+    return min(most, base * 2 ** max(0, attempt))
+
+
+def retry_after_seconds(header: str | None) -> float | None:
+    try:
+        return max(0.0, float(header)) if header else None
+    except ValueError:
+        return None
+
+
+class Gate:
+    """Lets calls through no closer together than ``least`` seconds."""
+
+    def __init__(self, least: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.least, self.clock, self.sleep, self.last = least, clock, sleep, None
+
+    def wait(self) -> None:
+        now = self.clock()
+        if self.last is not None and (left := self.last + self.least - now) > 0:
+            self.sleep(left)
+            now = self.clock()
+        self.last = now
+
+
+def fetch(call: Callable[[], tuple[int, dict, bytes]], retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """Body of a request, tried again on busy answers after the wait they ask for."""
+    for attempt in range(retries + 1):
+        status, headers, body = call()
+        if status < 400:
+            return body
+        if status not in RETRY_STATUS or attempt == retries:
+            raise OSError(f"HTTP {status}")
+        wait = retry_after_seconds(headers.get("Retry-After"))
+        sleep(backoff_seconds(attempt) if wait is None else wait)
+    raise OSError("not reached")
+
+
+def pages(search: Callable[[str, str | None, int], dict], query: str, cursor: str | None = None, count: int = 1000) -> Iterator[tuple[list[dict], str | None]]:
+    """(items, next cursor) of a search, page after page until there is no cursor."""
+    while True:
+        got = search(query, cursor, max(LEAST_PAGE, count))
+        cursor = got.get("cursor")
+        yield got.get("items") or [], cursor
+        if not cursor:
+            return
+
+
+class SearchSource(DataSource):
+    """``spark.read.format("paged_search")``: option ``module`` names an importable
+    ``module:function`` for ``search(query, cursor, count)``, ``query`` the query."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged_search"
+
+    def schema(self) -> str:
+        return "identifier string, title string, mediatype string, raw string"
+
+    def reader(self, schema) -> "SearchReader":
+        return SearchReader(self.options)
+
+    def simpleStreamReader(self, schema) -> "SearchStream":
+        return SearchStream(self.options)
+
+
+def _search(options) -> Callable:
+    import importlib
+
+    module, _, fn = options["module"].partition(":")
+    return getattr(importlib.import_module(module), fn)
+
+
+def _row(i: dict) -> tuple:
+    return str(i.get("identifier")), i.get("title"), i.get("mediatype"), json.dumps(i, sort_keys=True)
+
+
+class SearchReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def read(self, partition) -> Iterator[tuple]:
+        for items, _ in pages(_search(self.options), self.options.get("query", "")):
+            for i in items:
+                yield _row(i)
+
+
+class SearchStream(SimpleDataSourceStreamReader):
+    """A page a batch; the offset is the cursor, so a restart goes on after it."""
+
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"cursor": "", "end": "false"}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if start.get("end") == "true":
+            return iter([]), start
+        items, cursor = next(pages(_search(self.options), self.options.get("query", ""), start.get("cursor") or None))
+        return iter([_row(i) for i in items]), {"cursor": cursor or "", "end": "false" if cursor else "true"}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        at = start
+        while at != end and at.get("end") != "true":
+            rows, at = self.read(at)
+            yield from rows
