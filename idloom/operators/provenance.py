@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import strip
 from idloom.operators.search import first_values
-from idloom.session import Scratch
+from idloom.session import Scratch, count_rows
 
 MOST_DEPTH = 128
 RECORD_FIELDS = ["ia_identifier", "ia_item_url", "ia_file_url", "ia_file_name", "ia_file_source", "ia_file_format"]
@@ -17,38 +21,60 @@ SOURCE_REFERENCES = {"internet_archive": ("ia_file_url", "ia_item_url", "ia_iden
 SOURCE_LABELS = {"internet_archive": "Internet Archive", "logiqx_dat": "Logiqx DAT"}
 
 
-def top_ancestors(files: DataFrame, members: DataFrame, good: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(file_id, ancestor_id, depth): of each file (``id``) the good ancestor
-    (``id``; the file itself counts, at depth 0) that lies highest, i.e. at the
-    greatest depth up to ``most_depth``, the least id of several.
-
-    Depths are path lengths, so in a circle they go on to ``most_depth``. A level
-    keeps one row for each file and ancestor, and files whose way up ends leave.
+#: Edges up to which each of the tasks holds all of them (16 bytes an edge).
+LOCAL_UP = 2_000_000
+LOCAL_TASKS = 8
+
+
+def _climb(most_depth: int):
+    """All levels above a share of the files, with all edges at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        kind, a, b = (t.column(c).to_numpy() for c in ("kind", "a", "b"))
+        child, parent = a[kind == 0], b[kind == 0]
+        order = np.argsort(child, kind="stable")
+        child, parent = child[order], parent[order]
+        mine = a[kind == 1]
+        # a part of the files at a time, so that a level's pairs stay few
+        for s in range(0, len(mine), 50_000):
+            file = at = mine[s : s + 50_000]
+            for depth in range(most_depth + 1):
+                for k in range(0, len(file), 100_000):
+                    f, x = file[k : k + 100_000], at[k : k + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(x), pa.array(np.full(len(f), depth, np.int32))], names=["file_id", "ancestor_id", "depth"])
+                lo, hi = np.searchsorted(child, at, "left"), np.searchsorted(child, at, "right")
+                n = hi - lo
+                if not n.sum():
+                    break
+                file = np.repeat(file, n)
+                at = parent[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                pairs = np.unique(np.stack([file, at], 1), axis=0)
+                file, at = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+    return run
+
+
+def ancestors(files: DataFrame, members: DataFrame, most_depth: int = MOST_DEPTH, local_up: int = LOCAL_UP) -> DataFrame:
+    """(file_id, ancestor_id, depth): all ancestors of files (``id``), each depth
+    at which one is reached once; depth 0 is the file. Depths are path lengths,
+    so in a circle they go on to ``most_depth``.
+
+    Up to ``local_up`` edges, tasks take a share of the files and all edges;
+    beyond, each level is one distributed join.
     """
     scratch = Scratch(files.sparkSession)
-    up = scratch.save(members.where("child_file_id is not null and parent_file_id is not null").select(F.col("child_file_id").alias("at"), F.col("parent_file_id").alias("up")).distinct(), "up")
-    marks = scratch.save(good.select(F.col("id").alias("at"), F.lit(True).alias("good")).distinct(), "good")
-    level = scratch.save(files.select(F.col("id").alias("file_id"), F.col("id").alias("at")).distinct(), "level")
-    best = None
-    for depth in range(most_depth + 1):
-        found = level.join(marks, "at", "left_semi").groupBy("file_id").agg(F.min("at").alias("ancestor_id")).withColumn("depth", F.lit(depth))
-        found = scratch.save(found, "found")
-        if found.limit(1).count():
-            old, best = best, found if best is None else scratch.save(found.unionByName(best.join(found.select("file_id"), "file_id", "left_anti")), "best")
-            scratch.drop(old)
-        nxt = scratch.save(level.join(up, "at").select("file_id", F.col("up").alias("at")).distinct(), "level")
-        scratch.drop(level)
-        level = nxt
-        if not level.limit(1).count():
-            break
-    return best if best is not None else files.sparkSession.createDataFrame([], "file_id long, ancestor_id long, depth int")
-
-
-def ancestors(files: DataFrame, members: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(file_id, ancestor_id, depth) for every depth, each once; depth 0 is the file."""
-    scratch = Scratch(files.sparkSession)
-    up = scratch.save(members.where("child_file_id is not null and parent_file_id is not null").select(F.col("child_file_id").alias("ancestor_id"), F.col("parent_file_id").alias("up")).distinct(), "up")
-    level = scratch.save(files.select(F.col("id").alias("file_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth")).distinct(), "level")
+    up = scratch.save(members.where("child_file_id is not null and parent_file_id is not null").select(F.col("child_file_id").cast("long").alias("ancestor_id"), F.col("parent_file_id").cast("long").alias("up")).distinct(), "up")
+    ids = files.where("id is not null").select(F.col("id").cast("long").alias("file_id")).distinct()
+    if count_rows(up) <= local_up:
+        every = up.select(F.explode(F.sequence(F.lit(0), F.lit(LOCAL_TASKS - 1))).alias("task"), F.lit(0).alias("kind"), F.col("ancestor_id").alias("a"), F.col("up").alias("b"))
+        mine = ids.select(F.pmod(F.xxhash64("file_id"), F.lit(LOCAL_TASKS)).cast("int").alias("task"), F.lit(1).alias("kind"), F.col("file_id").alias("a"), F.col("file_id").alias("b"))
+        placed = every.unionByName(mine).repartitionById(LOCAL_TASKS, F.col("task")).select("kind", "a", "b")
+        return placed.mapInArrow(_climb(most_depth), "file_id long, ancestor_id long, depth int")
+    level = scratch.save(ids.select("file_id", F.col("file_id").alias("ancestor_id"), F.lit(0).alias("depth")), "level")
     out = level
     for _ in range(most_depth):
         level = scratch.save(level.join(up, "ancestor_id").select("file_id", F.col("up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")).distinct(), "level")
@@ -63,8 +89,11 @@ def record_origin(files: DataFrame, members: DataFrame, meta: DataFrame) -> Data
     top-most ancestor that has an identifier or an item's address."""
     fields = first_values(meta, RECORD_FIELDS)
     known = fields.where("ia_identifier is not null or ia_item_url is not null")
-    top = top_ancestors(files, members, known.select(F.col("file_id").alias("id")))
-    return top.select("file_id", F.col("ancestor_id").alias("source_file_id")).join(known.withColumnRenamed("file_id", "source_file_id"), "source_file_id")
+    above = ancestors(files, members).withColumnRenamed("ancestor_id", "source_file_id")
+    known = known.withColumnRenamed("file_id", "source_file_id")
+    good = above.join(known.select("source_file_id"), "source_file_id", "left_semi")
+    top = good.groupBy("file_id").agg(F.max_by("source_file_id", F.struct("depth", -F.col("source_file_id"))).alias("source_file_id"))
+    return top.join(known, "source_file_id")
 
 
 def source_rows(meta: DataFrame) -> DataFrame:
@@ -88,29 +117,11 @@ def top_source(files: DataFrame, members: DataFrame, meta: DataFrame) -> DataFra
     several at that depth."""
     sources = source_rows(meta)
     least = sources.groupBy("file_id").agg(F.min(F.struct("source_value", "external_reference")).alias("s")).select(F.col("file_id").alias("id"), "s.*")
-    # at the greatest depth the least value decides before the least id
-    top = top_ancestors_by(files, members, least, "source_value")
-    return top.join(least.withColumnRenamed("id", "source_file_id"), "source_file_id").select("file_id", "source_file_id", "source_value", "external_reference")
-
-
-def top_ancestors_by(files: DataFrame, members: DataFrame, good: DataFrame, by: str) -> DataFrame:
-    """As ``top_ancestors``, with ties decided by ``by`` first: (file_id, source_file_id)."""
-    scratch = Scratch(files.sparkSession)
-    up = scratch.save(members.where("child_file_id is not null and parent_file_id is not null").select(F.col("child_file_id").alias("at"), F.col("parent_file_id").alias("up")).distinct(), "up")
-    marks = scratch.save(good.select(F.col("id").alias("at"), F.col(by).alias("by")), "good")
-    level = scratch.save(files.select(F.col("id").alias("file_id"), F.col("id").alias("at")).distinct(), "level")
-    best = None
-    for _ in range(MOST_DEPTH + 1):
-        found = scratch.save(level.join(marks, "at").groupBy("file_id").agg(F.min_by("at", F.struct("by", "at")).alias("source_file_id")), "found")
-        if found.limit(1).count():
-            old, best = best, found if best is None else scratch.save(found.unionByName(best.join(found.select("file_id"), "file_id", "left_anti")), "best")
-            scratch.drop(old)
-        nxt = scratch.save(level.join(up, "at").select("file_id", F.col("up").alias("at")).distinct(), "level")
-        scratch.drop(level)
-        level = nxt
-        if not level.limit(1).count():
-            break
-    return best if best is not None else files.sparkSession.createDataFrame([], "file_id long, source_file_id long")
+    least = least.withColumnRenamed("id", "source_file_id")
+    above = ancestors(files, members).withColumnRenamed("ancestor_id", "source_file_id").join(least.select("source_file_id", "source_value"), "source_file_id")
+    # negated depth, so that the least is the highest ancestor
+    top = above.groupBy("file_id").agg(F.min_by("source_file_id", F.struct(-F.col("depth"), F.col("source_value"), F.col("source_file_id"))).alias("source_file_id"))
+    return top.join(least, "source_file_id").select("file_id", "source_file_id", "source_value", "external_reference")
 
 
 def source_entries(meta: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ _PATHS = """r AS (SELECT parent_file_id, child_file_id, CASE WHEN trim(replace(a
 
 
 @query(
-    f"""WITH {_PATHS}, b AS (SELECT parent_file_id, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM r WHERE child_file_id IS NOT NULL),
+    f"""WITH {_PATHS}, b AS (SELECT parent_file_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM r WHERE child_file_id IS NOT NULL),
  u AS (SELECT DISTINCT parent_file_id, array_to_string(parts[1:i], '/') AS directory FROM (SELECT parent_file_id, parts, unnest(range(1, len(parts))) AS i FROM b WHERE len(parts) > 1))
  SELECT DISTINCT parent_file_id, path AS directory FROM r WHERE child_file_id IS NULL AND NOT EXISTS (SELECT 1 FROM u WHERE u.parent_file_id = r.parent_file_id AND u.directory = r.path)"""
 )
@@ -406,7 +406,7 @@ def h18_cascade(spark, d):
 
 
 @query(
-    f"""WITH {_OBS} SELECT obs_id, CASE WHEN crc32 IS NULL OR md5 IS NULL OR sha1 IS NULL THEN 'Required hashes are missing: ' || array_to_string(list_filter([CASE WHEN crc32 IS NULL THEN 'crc32' END, CASE WHEN md5 IS NULL THEN 'md5' END, CASE WHEN sha1 IS NULL THEN 'sha1' END], x -> x IS NOT NULL), ', ')
+    f"""WITH {_OBS} SELECT obs_id, CASE WHEN crc32 IS NULL OR md5 IS NULL OR sha1 IS NULL THEN 'Required hashes are missing: ' || array_to_string(list_filter([CASE WHEN crc32 IS NULL THEN 'crc32' END, CASE WHEN md5 IS NULL THEN 'md5' END, CASE WHEN sha1 IS NULL THEN 'sha1' END], lambda x: x IS NOT NULL), ', ')
  WHEN size_bytes IS NULL THEN 'Exact file size is required' WHEN size_bytes < 0 THEN 'Exact file size must be a non-negative integer' """
     + " ".join(f"WHEN length({a}) <> {n} THEN '{a} must be exactly {n} hexadecimal characters' WHEN NOT regexp_full_match({a}, '[0-9a-f]+') THEN '{a} must contain only hexadecimal characters'" for a, n in (("crc32", 8), ("md5", 32), ("sha1", 40)))
     + " END AS error FROM o"
@@ -418,7 +418,7 @@ def i2_identity_errors(spark, d):
 _M = "WITH p AS (SELECT id, CASE WHEN trim(replace(archive_path, '\\', '/'), '/') = '' THEN archive_path ELSE trim(replace(archive_path, '\\', '/'), '/') END AS path FROM ufid_archive_member WHERE archive_path IS NOT NULL)"
 
 
-@query(_M + ", q AS (SELECT id, path, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM p) SELECT id, path, len(parts) - 1 AS n_parents, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM q WHERE len(parts) > 0")
+@query(_M + ", q AS (SELECT id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p) SELECT id, path, len(parts) - 1 AS n_parents, CASE WHEN len(parts) > 1 THEN array_to_string(parts[1:len(parts) - 1], '/') END AS parent FROM q WHERE len(parts) > 0")
 def i15_paths(spark, d):
     m = table(spark, d, "ufid_archive_member").where("archive_path is not null").select("id", scalars.archive_path(F.col("archive_path")).alias("path"))
     up = scalars.parent_directories(F.col("path"))
@@ -438,7 +438,7 @@ def i16_suffixes(spark, d):
 _BAD = ", ".join(f"CASE WHEN NOT coalesce(regexp_full_match(lower(trim({a}, {_WS})), '[0-9a-f]{{{n}}}'), false) THEN '{a}' END" for a, n in (("crc32", 8), ("md5", 32), ("sha1", 40)))
 
 
-@query(f"SELECT item_identifier, name, updated_at, array_to_string(list_filter([CASE WHEN NOT coalesce(size_bytes >= 0, false) THEN 'size' END, {_BAD}], x -> x IS NOT NULL), ',') AS missing FROM ia_ingest_file")
+@query(f"SELECT item_identifier, name, updated_at, array_to_string(list_filter([CASE WHEN NOT coalesce(size_bytes >= 0, false) THEN 'size' END, {_BAD}], lambda x: x IS NOT NULL), ',') AS missing FROM ia_ingest_file")
 def i19_missing_identity(spark, d):
     return crawl.declared_identity(table(spark, d, "ia_ingest_file")).select("item_identifier", "name", "updated_at", F.array_join("missing", ",").alias("missing"))
 
@@ -502,7 +502,7 @@ def i24_fixity(spark, d):
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT DISTINCT identifier, lower(title) AS title, lower(mediatype) AS mediatype FROM ia_ingest_item WHERE mediatype IS NOT NULL), e AS (SELECT DISTINCT lower(query) AS p, mediatype AS c FROM c JOIN ia_ingest_item USING (identifier)),
+    """WITH RECURSIVE c AS (SELECT DISTINCT identifier, lower(title) AS title, lower(mediatype) AS mediatype FROM ia_ingest_item WHERE mediatype IS NOT NULL), e AS (SELECT DISTINCT lower(query) AS p, c.mediatype AS c FROM c JOIN ia_ingest_item USING (identifier)),
  r(x, depth) AS (SELECT DISTINCT lower(query), 0 FROM ia_ingest_item UNION SELECT e.c, depth + 1 FROM r JOIN e ON e.p = r.x WHERE depth < 16) SELECT x AS collection, min(depth) AS depth FROM r WHERE x IS NOT NULL GROUP BY x"""
 )
 def j9_collection_depths(spark, d):
