@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,16 +70,27 @@ def stream_hashes(stream, algorithms: tuple[str, ...], chunk: int = CHUNK) -> tu
     return size, {a: h.hexdigest() for a, h in hs.items()}
 
 
+def _source(spark: SparkSession, path: str, recursive: bool) -> tuple[DataFrame, DataFrame]:
+    """(files with contents, paths of empty files); the scan leaves out empty
+    files, so they are taken from its listing, which the driver holds anyway."""
+    src = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    named = [(re.sub(r"^file:/+", "file:/", unquote(f)),) for f in src.inputFiles()]
+    listed = spark.createDataFrame(named, "path string")
+    return src, listed.join(src.select("path"), "path", "left_anti")
+
+
 def input_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, length) of the files below a folder, by path; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length").orderBy("path")
+    src, empty = _source(spark, path, recursive)
+    return src.select("path", "length").unionByName(empty.withColumn("length", F.lit(0).cast("long"))).orderBy("path")
 
 
 def file_hashes(spark: SparkSession, path: str, algorithms: tuple[str, ...] = ("crc32", "md5", "sha1", "sha256"), recursive: bool = True, stream_over: int = 256 << 20) -> DataFrame:
     """(path, size_bytes, hashes): small files by built-in functions over their
     contents, files over ``stream_over`` bytes read in chunks where they lie."""
     names = list(dict.fromkeys(map(algorithm_name, algorithms)))
-    src = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    src, empty = _source(spark, path, recursive)
+    none = empty.select("path", F.lit(0).cast("long").alias("size_bytes"), *column_hashes(F.lit(""), tuple(names)))
     small = src.where(F.col("length") <= stream_over).select("path", F.col("length").alias("size_bytes"), *column_hashes(F.col("content"), tuple(names)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,4 +101,4 @@ def file_hashes(spark: SparkSession, path: str, algorithms: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([size]), *[pa.array([hs[a]]) for a in names]], names=["path", "size_bytes", *names])
 
     large = src.where(F.col("length") > stream_over).select("path").mapInArrow(run, "path string, size_bytes long, " + ", ".join(f"{a} string" for a in names))
-    return small.unionByName(large)
+    return small.unionByName(none).unionByName(large)
