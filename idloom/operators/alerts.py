@@ -72,9 +72,9 @@ def matches(alerts: DataFrame, files: DataFrame) -> DataFrame:
     """(alert_id, file_id, matched_<algorithm>..., size_matched): alerts and files
     that share a hash, and the size if the alert gives one.
 
-    Both sides give one row a hash and join once on (algorithm, value); flags
-    are folded by alert and file. Alerts of one hash value are joined as one
-    class, not alert by alert, and opened afterwards.
+    Both sides give one row a hash and join once on (algorithm, value), files
+    only with values that an alert asks for; flags are folded by alert and file.
+    The result has a row for each alert and file, as a watch list needs.
     """
     asked = hash_rows(alerts, F.col("id").alias("alert_id"), F.col("size_bytes").alias("alert_size"))
     values = asked.select("algorithm", "value").distinct()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from idloom.functions.hashes import OPTIONAL, REQUIRED, clean_hash
 from idloom.functions.scalars import identity_error
 from idloom.operators.joins import lookup, numbered
+from idloom.session import Scratch
 
 KEY = ["size_bytes", *REQUIRED]
 
@@ -70,22 +71,24 @@ def consolidate(files: DataFrame, meta: DataFrame, observations: DataFrame, entr
     No group is gathered: an identity's two optional hashes are set at most once
     each, so three aggregates with map-side combine find who sets them.
     """
-    good = probe(observations.where("error is null").withColumn("entries", entries), files)
+    # written between the steps, so that none is computed again by the next
+    scratch = Scratch(files.sparkSession)
+    good = scratch.save(probe(observations.where("error is null").withColumn("entries", entries), files), "probed")
     stored = files.groupBy(*KEY).agg(*[F.max_by(o, "id").alias(f"old_{o}") for o in OPTIONAL])
     s, b = OPTIONAL
     # who comes first with any optional hash, or with one that fits what is stored
     fit = lambda: (F.coalesce(F.col(s) == F.col(f"old_{s}"), F.lit(True)) & F.coalesce(F.col(b) == F.col(f"old_{b}"), F.lit(True)))
-    base = lookup(good, stored, KEY)
+    base = scratch.save(lookup(good, stored, KEY), "base")
     adds = (F.col(s).isNotNull() & F.col(f"old_{s}").isNull()) | (F.col(b).isNotNull() & F.col(f"old_{b}").isNull())
     setter = F.when(fit() & adds, F.struct("seq", s, b))
     first = base.groupBy(*KEY).agg(F.min("seq").alias("first_seq"), F.min(setter).alias("one"))
-    one = lookup(base, first, KEY)
+    one = scratch.save(lookup(base, first, KEY), "one")
     cur = {o: F.coalesce(F.col(f"old_{o}"), F.col("one")[o]) for o in OPTIONAL}
     # a second one may fill the hash that the first left open
     later = (F.col("seq") > F.col("one")["seq"]) & F.coalesce(F.col(s) == cur[s], F.lit(True)) & F.coalesce(F.col(b) == cur[b], F.lit(True))
     fills = (F.col(s).isNotNull() & cur[s].isNull()) | (F.col(b).isNotNull() & cur[b].isNull())
     second = one.groupBy(*KEY).agg(F.min(F.when(later & fills, F.struct("seq", s, b))).alias("two"))
-    full = lookup(one, second, KEY)
+    full = scratch.save(lookup(one, second, KEY), "full")
     at = {o: F.coalesce(F.col(f"old_{o}"), F.when(F.col("one")["seq"] < F.col("seq"), F.col("one")[o]), F.when(F.col("two")["seq"] < F.col("seq"), F.col("two")[o])) for o in OPTIONAL}
     clash = {o: F.coalesce(F.col(o) != at[o], F.lit(False)) for o in OPTIONAL}
     full = full.withColumns({f"at_{o}": at[o] for o in OPTIONAL} | {"rejected": clash[s] | clash[b]})
