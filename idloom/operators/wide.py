@@ -21,7 +21,10 @@ from idloom.functions.hashes import strip
 
 #: Signs that may part groups of three digits.
 GROUP = ",'\u2019 \xa0\u2009\u202f"
-NUMBER = rf"^[+\-\u2212]?(?:\d+|\d{{1,3}}(?:([{GROUP}])\d{{3}})(?:\1\d{{3}})*)?(?:\.\d*)?(?:[eE][+\-\u2212]?\d+)?$"
+NUMBER = rf"^[+\-]?(?:\d+|\d{{1,3}}(?:([{GROUP}])\d{{3}})(?:\1\d{{3}})*)?(?:\.\d*)?(?:[eE][+\-]?\d+)?$"
+#: Digits and signs of other widths and scripts, and what they stand for.
+DIGITS = "".join(chr(z + i) for z in (0xFF10, 0x0660, 0x06F0, 0x0966) for i in range(10)) + "\uff0e\uff0c\uff0b\uff0d\u2212\uff0f\uff1a\uff45\uff25"
+PLAIN = "0123456789" * 4 + ".,+--/:eE"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "may" else "may" for m in MONTHS) + "|sept)"
 TIME = r"(?:[t ]+\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:z|utc|gmt|[ap]m|[+\-]\d{2}:?\d{2})?)?"
@@ -44,9 +47,9 @@ def attribute_name(c: Column) -> Column:
 
 def read_number(c: Column) -> Column:
     """The value of one plain decimal numeral, else null."""
-    v = strip(c)
+    v = F.translate(strip(c), DIGITS, PLAIN)
     ok = v.rlike(NUMBER) & v.rlike(r"^[^eE]*\d")
-    plain = F.regexp_replace(F.translate(v, "\u2212", "-"), f"[{GROUP}]", "")
+    plain = F.regexp_replace(v, f"[{GROUP}]", "")
     return F.when(ok, plain).try_cast("double")
 
 
@@ -57,7 +60,7 @@ def read_date(c: Column) -> Column:
     day first; with slashes or hyphens the order must follow from the numbers
     (one above 12, or both equal), else the text is not readable.
     """
-    v = F.lower(strip(c))
+    v = F.lower(F.translate(strip(c), DIGITS, PLAIN))
     names = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m[:3]), F.lit(str(i + 1)))])
     tries = []
     for pattern, (y, m, d) in DATES:

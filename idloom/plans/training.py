@@ -11,7 +11,7 @@ from idloom.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.circles(hierarchy.edges_of(table(spark, d, "ufid_archive_member"))).select(F.col("node").alias("file_id"))
+    return hierarchy.circles(hierarchy.links_of(table(spark, d, "ufid_archive_member"))).select(F.col("node").alias("file_id"))
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -177,8 +177,8 @@ _DATE_SQL = (
 )
 _M_GROUPS = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|sept|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 _DATE_SQL = _DATE_SQL.replace(_M, _M_GROUPS).replace(", 14)", ", 3)").replace(", 13)", ", 2)")
-_CELLS = rf"""WITH r AS (SELECT file_id, regexp_replace(trim(lower(name), {_WS}), '[\s\x{{a0}}_\-]+', '_', 'g') AS attribute, trim(value, {_WS}) AS v, lower(trim(value, {_WS})) AS w FROM ufid_file_meta WHERE file_id IS NOT NULL),
- c AS (SELECT file_id, attribute, value_type, CASE WHEN value_type = 'number' THEN {_NUMBER_SQL} END AS num, CASE WHEN value_type = 'date' THEN {_DATE_SQL} END AS day, CASE WHEN value_type NOT IN ('number', 'date') THEN nullif(v, '') END AS txt FROM r JOIN wide_column USING (attribute)),
+_CELLS = rf"""WITH r AS (SELECT file_id, regexp_replace(trim(lower(name), {_WS}), '[\s\x{{a0}}_\-]+', '_', 'g') AS attribute, translate(trim(value, {_WS}), '{wide.DIGITS}', '{wide.PLAIN}') AS v, lower(translate(trim(value, {_WS}), '{wide.DIGITS}', '{wide.PLAIN}')) AS w, trim(value, {_WS}) AS t FROM ufid_file_meta WHERE file_id IS NOT NULL),
+ c AS (SELECT file_id, attribute, value_type, CASE WHEN value_type = 'number' THEN {_NUMBER_SQL} END AS num, CASE WHEN value_type = 'date' THEN {_DATE_SQL} END AS day, CASE WHEN value_type NOT IN ('number', 'date') THEN nullif(t, '') END AS txt FROM r JOIN wide_column USING (attribute)),
  s AS (SELECT file_id, attribute, any_value(value_type) AS value_type, CASE WHEN min(num) = max(num) THEN min(num) END AS num, CASE WHEN min(day) = max(day) THEN min(day) END AS day, CASE WHEN min(txt) = max(txt) THEN min(txt) END AS txt, count(num) + count(day) AS n FROM c GROUP BY file_id, attribute)
 """
 SQL["p6_found"] = _CELLS + "SELECT file_id, attribute, CASE WHEN n = 0 THEN 'unreadable' ELSE 'conflict' END AS issue FROM s WHERE value_type IN ('number', 'date') AND num IS NULL AND day IS NULL"

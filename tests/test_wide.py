@@ -12,9 +12,9 @@ def _df(spark, rows):
     return spark.createDataFrame([(i, f, "text", n, v, 0, 0) for i, (f, n, v) in enumerate(rows)], SCHEMA)
 
 
-NUMBERS = {"12": 12, " 1023 ": 1023, "+16": 16, "-3": -3, "007": 7, "0.36e2": 36, "1E+3": 1000, "3,229": 3229, "1 228": 1228, "198'059": 198059, "2 550 490": 2550490, "1,234.50": 1234.5, ".5": 0.5, "5.": 5, "−7": -7}
+NUMBERS = {"12": 12, " 1023 ": 1023, "+16": 16, "-3": -3, "007": 7, "0.36e2": 36, "1E+3": 1000, "3,229": 3229, "1 228": 1228, "198'059": 198059, "2 550 490": 2550490, "1,234.50": 1234.5, ".5": 0.5, "\uff15\uff19": 59, "\uff11\uff0c\uff10\uff11\uff17\uff0e\uff15": 1017.5, "\u0661\u0662": 12, "5.": 5, "−7": -7}
 NO_NUMBERS = ["70x23", "null", "50..9", "59 / 82", "<37", "13-48", "9?", "3 or 4", "1.2.3", "#REF", "5 46", "1,23", "12,5", "", "l7", "1_0_0", "0x1F", "NaN", "Infinity", "1e", "e5", "--", "1,234 567", ".", "12 kB"]
-DATES = {"1995-11-11": date(1995, 11, 11), "20001015": date(2000, 10, 15), "17 Mar 2006": date(2006, 3, 17), "1984-04-10T13:19:43Z": date(1984, 4, 10), " 1993-04-01 09:55": date(1993, 4, 1), "December 2, 2001": date(2001, 12, 2), "2013/06/08": date(2013, 6, 8), "20.04.1997": date(1997, 4, 20), "10-SEP-1992": date(1992, 9, 10), "May 1, 2010": date(2010, 5, 1), "25/12/1999": date(1999, 12, 25), "12/25/1999": date(1999, 12, 25), "2024-02-29": date(2024, 2, 29)}
+DATES = {"1995-11-11": date(1995, 11, 11), "20001015": date(2000, 10, 15), "17 Mar 2006": date(2006, 3, 17), "1984-04-10T13:19:43Z": date(1984, 4, 10), " 1993-04-01 09:55": date(1993, 4, 1), "December 2, 2001": date(2001, 12, 2), "2013/06/08": date(2013, 6, 8), "20.04.1997": date(1997, 4, 20), "10-SEP-1992": date(1992, 9, 10), "\uff11\uff19\uff19\uff15-11-11": date(1995, 11, 11), "May 1, 2010": date(2010, 5, 1), "25/12/1999": date(1999, 12, 25), "12/25/1999": date(1999, 12, 25), "2024-02-29": date(2024, 2, 29)}
 NO_DATES = ["2023-02-29", "summer 1988", "2008-06-??", "2020-03", "19??", "199x-05-01", "n/a", "-", "", "next spring", "03/04/2015", "31 Foo 2000", "20011301", "5"]
 
 
