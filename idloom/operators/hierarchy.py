@@ -36,8 +36,9 @@ def edges_of(members: DataFrame) -> DataFrame:
     )
 
 
-def _links(edges: DataFrame) -> DataFrame:
-    return edges.select("parent", "child").distinct()
+def links_of(members: DataFrame) -> DataFrame:
+    """Different (parent, child) with both ends given; paths are not read."""
+    return members.where("parent_file_id is not null and child_file_id is not null").select(F.col("parent_file_id").cast("long").alias("parent"), F.col("child_file_id").cast("long").alias("child")).distinct()
 
 
 def _in_one_task(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
@@ -170,14 +171,15 @@ def _wide_circles(scratch: Scratch, core: DataFrame) -> DataFrame:
 
 def circles(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, circle): nodes that reach themselves, with the least id of all that
-    reach each other.  A node that holds itself is a circle of one.
+    reach each other.  A node that holds itself is a circle of one.  ``edges``
+    are those of ``links_of`` or ``edges_of``.
 
     Peeling from the bottom leaves circles and what lies above them, peeling
     from the top then circles and what lies between them; the exact check of
     that rest splits it into components.
     """
     scratch = Scratch(edges.sparkSession)
-    rest = scratch.save(_links(edges), "links")
+    rest = scratch.save(edges.select("parent", "child").distinct() if "path" in edges.columns else edges, "links")
     rest, _ = _trim(scratch, rest, "child", "parent", local_edges)
     rest, n = _trim(scratch, rest, "parent", "child", local_edges)
     if n > local_edges:
@@ -258,7 +260,7 @@ def descendants(members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame
     """
     spark = members.sparkSession
     scratch = Scratch(spark)
-    edges = scratch.save(_links(edges_of(members)), "edges")
+    edges = scratch.save(links_of(members), "edges")
     ring = circles(edges, local_edges)
     name = lambda side: ring.select(F.col("node").alias(side), F.col("circle").alias(f"{side}_of"))
     joined = edges.join(name("parent"), "parent", "left").join(name("child"), "child", "left")
