@@ -88,7 +88,11 @@ def cell_states(eav: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     day = F.when(F.col("attr").isin(of("date")), F.datediff(read_date(F.col("value")), F.lit("1970-01-01").cast("date")))
     text = F.when(~F.col("attr").isin(of("number", "date")), F.nullif(strip(F.col("value")), F.lit("")))
     typed = rows.select("entity", "attr", F.coalesce(number, day.cast("double")).alias("num"), text.alias("txt"))
-    return typed.groupBy("entity", "attr").agg(F.min("num").alias("num_min"), F.max("num").alias("num_max"), F.min("txt").alias("txt_min"), F.max("txt").alias("txt_max"))
+    nums = [F.min("num").alias("num_min"), F.max("num").alias("num_max")]
+    if not of(*(k for k in kinds.values() if k not in ("number", "date"))):
+        # without texts the aggregate keeps to fixed-width values and hashes
+        return typed.groupBy("entity", "attr").agg(*nums).withColumns({c: F.lit(None).cast("string") for c in ("txt_min", "txt_max")})
+    return typed.groupBy("entity", "attr").agg(*nums, F.min("txt").alias("txt_min"), F.max("txt").alias("txt_max"))
 
 
 OK, CONFLICT, UNREADABLE = 1, 2, 3
