@@ -1,0 +1,85 @@
+"""Adding inputs with the members of their archives, and crawled records."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from idloom.functions import scalars
+from idloom.operators import containment, identity
+from idloom.operators.joins import lookup
+from idloom.operators.search import lookup_hashes
+from idloom.session import Scratch
+from idloom.sources import archives, hashing
+
+ENTRIES = "array<struct<metadata_type:string,name:string,value:string,notes:string>>"
+
+
+@dataclass
+class Added:
+    """Files after the import, its report by path, new metadata rows (member
+    errors among them), and new containment rows."""
+
+    files: DataFrame
+    report: DataFrame
+    metadata: DataFrame
+    members: DataFrame
+
+
+def members_of(inputs: DataFrame) -> DataFrame:
+    """(input_id, path, parent_path, name, hashes, error) of inputs (``id``,
+    ``name``, ``payload``) and everything inside them; the input's path is empty."""
+    own = inputs.select(F.col("id").alias("input_id"), F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.col("name"), F.octet_length("payload").cast("long").alias("size_bytes"), *hashing.column_hashes(F.col("payload")), F.lit(None).cast("string").alias("error"), F.lit(False).alias("is_empty_directory"))
+    inner = archives.archive_members(inputs)
+    cut = F.regexp_extract("path", r"^(.*)!/", 1)
+    last = F.regexp_extract("path", r"([^/]*)/*$", 1)
+    return own.unionByName(inner.select(F.col("id").alias("input_id"), "path", cut.alias("parent_path"), last.alias("name"), "size_bytes", "crc32", "md5", "sha1", "sha256", "error", "is_empty_directory"))
+
+
+def add_inputs(files: DataFrame, meta: DataFrame, members: DataFrame, inputs: DataFrame) -> Added:
+    """Hash inputs and all nested members, consolidate them into ``files``, link
+    members to their archives, and keep unreadable members as ``archive_error``
+    metadata of the archive that holds them.
+
+    Inputs are opened in the order of their id, members by path. A null payload
+    is no input. Members without bytes (empty directories, errors) are no files.
+    """
+    scratch = Scratch(files.sparkSession)
+    rows = scratch.save(members_of(inputs.where("payload is not null")), "inputs")
+    # a number for each file in one order, as an import is one after another
+    from idloom.operators.joins import numbered
+
+    real = numbered(rows.where("sha1 is not null"), [F.col("input_id"), F.col("path")], "obs_id")
+    real = scratch.save(real.withColumnRenamed("name", "display_name").withColumn("blake3", F.lit(None).cast("string")), "observed")
+    none = F.lit(None).cast("string")
+    clean = identity.cleaned(real)
+    entries = scalars.metadata_entries(F.col("display_name"), none, none, F.lit(None).cast(ENTRIES))
+    done = identity.consolidate(files, meta, clean, entries)
+    after = scratch.save(done.files, "files")
+    ids = scratch.save(identity.probe(clean, after).select("input_id", "path", "file_id"), "ids")
+    report = done.report.join(clean.select("seq", "input_id", "path"), "seq")
+    parents = ids.select("input_id", F.col("path").alias("parent_path"), F.col("file_id").alias("parent_file_id"))
+    inside = lookup(rows.where("parent_path is not null"), parents, ["input_id", "parent_path"], "inner")
+    inside = inside.join(ids, ["input_id", "path"], "left")
+    inner_path = F.when(F.col("parent_path") == "", F.col("path")).otherwise(F.expr("substring(path, length(parent_path) + 3)"))
+    links = inside.where("error is null and (file_id is not null or is_empty_directory)").select("parent_file_id", F.col("file_id").alias("child_file_id"), inner_path.alias("archive_path"))
+    errors = inside.where("error is not null").select(F.col("parent_file_id").alias("file_id"), F.lit("text").alias("metadata_type"), F.lit("archive_error").alias("name"), F.col("error").alias("value"), inner_path.alias("notes"))
+    names = ids.join(rows.select("input_id", "path", "name"), ["input_id", "path"]).where("name <> ''").select("file_id", F.lit("text").alias("metadata_type"), F.lit("filename").alias("name"), F.col("name").alias("value"), F.lit(None).cast("string").alias("notes"))
+    fresh = identity.append_missing(meta.select("id", "file_id", "metadata_type", "name", "value", "notes"), names.unionByName(errors), ["file_id", "metadata_type", "name", "value", "notes"])
+    return Added(after, report, fresh, containment.add_members(members, links))
+
+
+def lookup_inputs(files: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(id, algorithm, file_id): stored files found for inputs by their hashes."""
+    hashed = inputs.where("payload is not null").select("id", *hashing.column_hashes(F.col("payload")))
+    return lookup_hashes(hashed, files, "id")
+
+
+def split_records(files_of_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(complete, queued): declared files whose identity can be stored at once,
+    and those that have to be fetched, with what is missing."""
+    parts = {a: F.col(a) for a in ("crc32", "md5", "sha1")}
+    rows = files_of_items.withColumn("missing", scalars.missing_identity(F.col("size_bytes"), parts))
+    return rows.where("size(missing) = 0").drop("missing"), rows.where("size(missing) > 0")

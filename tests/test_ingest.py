@@ -1,0 +1,52 @@
+import hashlib
+import io
+import zipfile
+
+from idloom.operators import ingest
+from tests.test_identity import FILES, META
+
+MEMBERS = "id long, parent_file_id long, child_file_id long, archive_path string"
+
+
+def _zip(members):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for n, d in members:
+            z.writestr(n, d)
+    return buf.getvalue()
+
+
+def test_add_and_look_up_inputs(spark):
+    inner = _zip([("deep.txt", b"deep"), ("empty/", b"")])
+    broken = bytearray(_zip([("bad.bin", b"B" * 60)]))
+    broken[45] ^= 255
+    outer = _zip([("in/inner.zip", inner), ("same.txt", b"deep"), ("broken.zip", bytes(broken))])
+    inputs = spark.createDataFrame([(1, "o.zip", outer), (2, "plain.txt", b"deep"), (3, "none", None)], "id long, name string, payload binary")
+    files, meta, members = spark.createDataFrame([], FILES), spark.createDataFrame([], META), spark.createDataFrame([], MEMBERS)
+    got = ingest.add_inputs(files, meta, members, inputs)
+    by_sha = {r.sha1: r.id for r in got.files.collect()}
+    sha = lambda b: by_sha[hashlib.sha1(bytes(b)).hexdigest()]
+    assert len(by_sha) == 4
+    status = {(r.input_id, r.path): r.status for r in got.report.collect()}
+    assert status[1, ""] == "created" and status[1, "in/inner.zip!/deep.txt"] == "created" and status[1, "same.txt"] == "enriched" and status[2, ""] == "enriched" and len(status) == 6
+    links = {(r.parent_file_id, r.child_file_id, r.archive_path) for r in got.members.collect()}
+    assert links == {(sha(outer), sha(inner), "in/inner.zip"), (sha(outer), sha(b"deep"), "same.txt"), (sha(outer), sha(broken), "broken.zip"), (sha(inner), sha(b"deep"), "deep.txt"), (sha(inner), None, "empty")}
+    rows = [(r.file_id, r.name, r.value) for r in got.metadata.collect()]
+    assert {(sha(b"deep"), "filename", n) for n in ("deep.txt", "same.txt", "plain.txt")} <= set(rows)
+    assert [r[0] for r in rows if r[1] == "archive_error"] == [sha(broken)]
+    again = ingest.add_inputs(got.files, got.metadata.selectExpr("id", "file_id", "metadata_type", "name", "value", "notes", "cast(null as timestamp) as added_at"), got.members, inputs)
+    assert {r.status for r in again.report.collect()} == {"unchanged"} and again.members.count() == 0 and again.metadata.count() == 0
+    found = {r.id: r.file_id for r in ingest.lookup_inputs(got.files, inputs).collect()}
+    assert found == {1: sha(outer), 2: sha(b"deep")}
+
+
+def test_no_inputs(spark):
+    empty = spark.createDataFrame([], "id long, name string, payload binary")
+    got = ingest.add_inputs(spark.createDataFrame([], FILES), spark.createDataFrame([], META), spark.createDataFrame([], MEMBERS), empty)
+    assert got.files.collect() == got.report.collect() == got.members.collect() == got.metadata.collect() == []
+
+
+def test_split_records(spark):
+    df = spark.createDataFrame([("i", "a", 1, "0" * 8, "0" * 32, "0" * 40), ("i", "b", None, "0" * 8, None, "zz")], "identifier string, name string, size_bytes long, crc32 string, md5 string, sha1 string")
+    done, queued = ingest.split_records(df)
+    assert [r.name for r in done.collect()] == ["a"] and queued.first().missing == ["size", "md5", "sha1"]
