@@ -271,13 +271,14 @@ def _walk_rows(plan: Plan, key: str, obj: dict) -> Iterator[tuple[str, str, str
 ROWS = "element string, row_id string, parent_element string, parent_row_id string, identifier string, name string, file_path string, fields map<string,string>"
 
 
-def shred(records: DataFrame, root: str, key: str, id_columns: list[str]) -> DataFrame:
+def shred(records: DataFrame, root: str, key: str, id_columns: list[str], copies: bool = False) -> DataFrame:
     """All rows of all tables: element, row_id, parent_element, parent_row_id,
     identifier, name, file_path, fields.
 
     ``key`` names the column with the outer identifier; ``id_columns`` make the
     row_id of a record, together with a hash of its text, so that copies of one
-    record get one id.  Names are as the record has them; a file without a name
+    record get one id and are taken once; with ``copies`` each is taken, which
+    spares moving the texts.  Names are as the record has them; a file without a name
     (or with a blank one) goes with all below it.  Records that are null, not
     JSON or no object give nothing; an empty table gives an empty result.
     """
@@ -306,7 +307,8 @@ def shred(records: DataFrame, root: str, key: str, id_columns: list[str]) -> Dat
             yield batch(rows)
 
     rid = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_columns], F.hex(F.xxhash64("metadata_json")))
-    return records.where("metadata_json is not null").select(F.col(key).cast("string").alias("outer"), rid.alias("rid"), "metadata_json").distinct().mapInArrow(run, ROWS)
+    rows = records.where("metadata_json is not null").select(F.col(key).cast("string").alias("outer"), rid.alias("rid"), "metadata_json")
+    return (rows if copies else rows.distinct()).mapInArrow(run, ROWS)
 
 
 def plan_of(records: DataFrame, root: str) -> Plan:
@@ -323,4 +325,4 @@ def flat_table(rows: DataFrame, plan: Plan, element: str) -> DataFrame:
 
 def file_objects(records: DataFrame, root: str, key: str, id_columns: list[str]) -> DataFrame:
     """(identifier, file_path) of the different file objects at any depth."""
-    return shred(records, root, key, id_columns).where("element = 'file' and file_path is not null").select("identifier", "file_path").distinct()
+    return shred(records, root, key, id_columns, copies=True).where("element = 'file' and file_path is not null").select("identifier", "file_path").distinct()
