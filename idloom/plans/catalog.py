@@ -438,14 +438,14 @@ def i16_suffixes(spark, d):
 _BAD = ", ".join(f"CASE WHEN NOT coalesce(regexp_full_match(lower(trim({a}, {_WS})), '[0-9a-f]{{{n}}}'), false) THEN '{a}' END" for a, n in (("crc32", 8), ("md5", 32), ("sha1", 40)))
 
 
-@query(f"SELECT item_identifier, name, updated_at, array_to_string(list_filter([CASE WHEN NOT coalesce(size_bytes >= 0, false) THEN 'size' END, {_BAD}], lambda x: x IS NOT NULL), ',') AS missing FROM ia_ingest_file")
+@query(f"SELECT item_identifier, name, epoch_us(updated_at) AS updated_us, array_to_string(list_filter([CASE WHEN NOT coalesce(size_bytes >= 0, false) THEN 'size' END, {_BAD}], lambda x: x IS NOT NULL), ',') AS missing FROM ia_ingest_file")
 def i19_missing_identity(spark, d):
-    return crawl.declared_identity(table(spark, d, "ia_ingest_file")).select("item_identifier", "name", "updated_at", F.array_join("missing", ",").alias("missing"))
+    return crawl.declared_identity(table(spark, d, "ia_ingest_file")).select("item_identifier", "name", F.unix_micros("updated_at").alias("updated_us"), F.array_join("missing", ",").alias("missing"))
 
 
-@query("SELECT item_identifier, name, updated_at, len(CASE WHEN json_valid(identity_metadata_missing) AND json_type(identity_metadata_missing) = 'ARRAY' THEN from_json(identity_metadata_missing, '[\"VARCHAR\"]') ELSE [] END)::BIGINT AS n_missing FROM ia_ingest_file")
+@query("SELECT item_identifier, name, epoch_us(updated_at) AS updated_us, len(CASE WHEN json_valid(identity_metadata_missing) AND json_type(identity_metadata_missing) = 'ARRAY' THEN from_json(identity_metadata_missing, '[\"VARCHAR\"]') ELSE [] END)::BIGINT AS n_missing FROM ia_ingest_file")
 def i28_json_lists(spark, d):
-    return table(spark, d, "ia_ingest_file").select("item_identifier", "name", "updated_at", F.size(scalars.json_list(F.col("identity_metadata_missing"))).cast("long").alias("n_missing"))
+    return table(spark, d, "ia_ingest_file").select("item_identifier", "name", F.unix_micros("updated_at").alias("updated_us"), F.size(scalars.json_list(F.col("identity_metadata_missing"))).cast("long").alias("n_missing"))
 
 
 @query("SELECT DISTINCT item_identifier, name, replace(url_encode(name), '%2F', '/') AS quoted FROM ia_ingest_file WHERE name IS NOT NULL")
@@ -467,30 +467,30 @@ def i8_fingerprints(spark, d):
 # -- J: crawl state --------------------------------------------------------------------
 
 
-@query("SELECT identifier, min(first_seen_at) AS first_seen_at, max(updated_at) AS updated_at, count(*) AS n FROM ia_ingest_item GROUP BY identifier")
+@query("SELECT identifier, epoch_us(min(first_seen_at)) AS first_seen_us, epoch_us(max(updated_at)) AS updated_us, count(*) AS n FROM ia_ingest_item GROUP BY identifier")
 def j2_latest_items(spark, d):
     rows = table(spark, d, "ia_ingest_item")
     n = rows.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
-    return crawl.latest(rows, ["identifier"]).select("identifier", "first_seen_at", "updated_at").join(n, "identifier")
+    return crawl.latest(rows, ["identifier"]).select("identifier", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("updated_at").alias("updated_us")).join(n, "identifier")
 
 
-@query("SELECT item_identifier, name, min(first_seen_at) AS first_seen_at, max(updated_at) AS updated_at, arg_max(ufid_file_id, (updated_at, ufid_file_id)) FILTER (ufid_file_id IS NOT NULL) AS ufid_file_id FROM ia_ingest_file GROUP BY item_identifier, name")
+@query("SELECT item_identifier, name, epoch_us(min(first_seen_at)) AS first_seen_us, epoch_us(max(updated_at)) AS updated_us, arg_max(ufid_file_id, (updated_at, ufid_file_id)) FILTER (ufid_file_id IS NOT NULL) AS ufid_file_id FROM ia_ingest_file GROUP BY item_identifier, name")
 def j3_latest_files(spark, d):
-    return crawl.latest(table(spark, d, "ia_ingest_file"), ["item_identifier", "name"]).select("item_identifier", "name", "first_seen_at", "updated_at", "ufid_file_id")
+    return crawl.latest(table(spark, d, "ia_ingest_file"), ["item_identifier", "name"]).select("item_identifier", "name", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("updated_at").alias("updated_us"), "ufid_file_id")
 
 
-@query("SELECT item_identifier, name, status, first_seen_at, updated_at FROM ia_ingest_file WHERE status IN ('pending', 'downloading', 'failed', 'skipped')")
+@query("SELECT item_identifier, name, status, epoch_us(first_seen_at) AS first_seen_us, epoch_us(updated_at) AS updated_us FROM ia_ingest_file WHERE status IN ('pending', 'downloading', 'failed', 'skipped')")
 def j4_open_files(spark, d):
-    return crawl.open_files(table(spark, d, "ia_ingest_file"), retry_failed=True).select("item_identifier", "name", "status", "first_seen_at", "updated_at")
+    return crawl.open_files(table(spark, d, "ia_ingest_file"), retry_failed=True).select("item_identifier", "name", "status", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("updated_at").alias("updated_us"))
 
 
 @query(
-    f"""SELECT item_identifier, name, updated_at, CASE WHEN status IN ('done', 'failed') THEN status WHEN source IS DISTINCT FROM 'original' THEN 'not original' WHEN size_bytes > 10000000 THEN 'size ' || size_bytes || ' exceeds max 10000000' END AS skip,
+    f"""SELECT item_identifier, name, epoch_us(updated_at) AS updated_us, CASE WHEN status IN ('done', 'failed') THEN status WHEN source IS DISTINCT FROM 'original' THEN 'not original' WHEN size_bytes > 10000000 THEN 'size ' || size_bytes || ' exceeds max 10000000' END AS skip,
  CASE WHEN coalesce(size_bytes < 1000, true) THEN 'below the least size' WHEN size_bytes > 10000000 THEN 'above the greatest size' WHEN NOT coalesce({_SUFFIX} IN {_IN(scalars.CONTAINER_SUFFIXES)}, false) THEN 'not a clearly supported archive' END AS defer FROM ia_ingest_file"""
 )
 def b18_skip_and_defer(spark, d):
     f = table(spark, d, "ia_ingest_file")
-    return f.select("item_identifier", "name", "updated_at", crawl.skip_reason(True, 10_000_000).alias("skip"), crawl.defer_reason(1000, 10_000_000).alias("defer"))
+    return f.select("item_identifier", "name", F.unix_micros("updated_at").alias("updated_us"), crawl.skip_reason(True, 10_000_000).alias("skip"), crawl.defer_reason(1000, 10_000_000).alias("defer"))
 
 
 @query(
