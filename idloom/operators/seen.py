@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import clean_hash, is_hex
-from idloom.session import count_rows, partitions
+from idloom.session import Scratch, count_rows, partitions
 
 KEY_PARTS = ("size_bytes", "crc32", "md5", "sha1")
 MAX_LOAD = 0.75
@@ -269,7 +269,8 @@ def error_report(observations: DataFrame, stored: DataFrame, remainder_bits: tup
     """
     spark = observations.sparkSession
     rows = count_rows(observations) + count_rows(stored)
-    exact = exact_seen(observations, stored)
+    # compared with several filters, so written once
+    exact = Scratch(spark).save(exact_seen(observations, stored), "exact")
     parts = []
     for r in remainder_bits:
         bucket_bits, fp_bits = layout(rows, partitions(spark), r, 1_000_000)
