@@ -81,8 +81,7 @@ class Scratch:
             self._delete(df._idloom_path)
 
     def close(self) -> None:
-        if os.path.isdir(local := self.root.removeprefix("file://")):
-            shutil.rmtree(local, ignore_errors=True)
+        self._delete(self.root)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
