@@ -110,17 +110,19 @@ def _break(a: str, b: str) -> float:
 class Model:
     """The worth of pairs, and texts restored by it."""
 
-    def __init__(self, rows: list[tuple[int, int, int]]):
-        self.tables = [np.zeros(1 << b, np.float32) for b in (CHAR_BITS, PAIR_BITS, PAIR_BITS)]
-        self.total = float(sum(n for kind, _, n in rows if kind == 1)) or 1.0
-        for kind, slot, n in rows:
-            self.tables[kind][slot] = n
+    def __init__(self, kind=(), slot=(), n=()):
+        kind, slot, n = np.asarray(kind, np.int8), np.asarray(slot, np.int64), np.asarray(n, np.float64)
+        self.tables = []
+        for k, bits in enumerate((CHAR_BITS, PAIR_BITS, PAIR_BITS)):
+            self.tables.append(np.zeros(1 << bits, np.float32))
+            self.tables[k][slot[kind == k]] = n[kind == k]
+        self.total = float(n[kind == 1].sum()) or 1.0
 
     @classmethod
     def of(cls, texts: DataFrame) -> "Model":
-        """At most 2 * 2**PAIR_BITS + 2**CHAR_BITS rows come to the driver."""
+        """At most 2 * 2**PAIR_BITS + 2**CHAR_BITS rows come to the driver, as Arrow."""
         got = pair_counts(texts).toArrow()
-        return cls(list(zip(*(got.column(c).to_pylist() for c in ("kind", "slot", "n")))))
+        return cls(*(got.column(c).to_numpy() for c in ("kind", "slot", "n")))
 
     def __getstate__(self):
         used = [np.flatnonzero(t) for t in self.tables]
