@@ -40,7 +40,7 @@ LEAST_GAIN_ALONE = 9.0
 #: Mutual information that a pair has at least, so that frequent ones keep worth.
 LEAST_PMI = 0.5
 #: What a capital right after a small letter, or two scripts in one word, lack.
-CASE_BREAK, SCRIPT_BREAK = 4.0, 8.0
+CASE_BREAK, SCRIPT_BREAK = 8.0, 8.0
 LAYERS = 3
 
 BAD = re.compile("[�\x80-\x84\x86-\x9f]")
