@@ -10,6 +10,7 @@ from idloom.functions.scalars import ALGORITHMS, contains, optional_size, option
 from idloom.operators.identity import append_missing
 from idloom.operators.joins import lookup
 from idloom.operators.search import PAGE_MOST, hash_rows
+from idloom.session import Scratch
 
 FIELDS = ("name", "description", "size_bytes", *ALGORITHMS, "source_type", "source_name", "source_detail")
 
@@ -56,6 +57,8 @@ def import_alerts(alerts: DataFrame, links: DataFrame, incoming: DataFrame) -> t
     of them; the report counts received, valid, created (links), skipped and
     errors of each user.
     """
+    # the cleaned alerts are read by several steps
+    incoming = Scratch(incoming.sparkSession).save(incoming, "alerts")
     good = incoming.where("error is null")
     # with no column but the fields, an id is given to new ones
     new = append_missing(alerts, good.select("fingerprint", *FIELDS), ["fingerprint"])

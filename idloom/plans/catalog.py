@@ -41,7 +41,8 @@ def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
 
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
-    return identity.cleaned(table(spark, d, "file_observation"))
+    """Cleaned observations, written once: lookups read them several times."""
+    return Scratch(spark).save(identity.cleaned(table(spark, d, "file_observation")), "observed")
 
 
 # -- A: sources --------------------------------------------------------------------
@@ -412,7 +413,7 @@ def h18_cascade(spark, d):
     + " END AS error FROM o"
 )
 def i2_identity_errors(spark, d):
-    return _observed(spark, d).select(F.col("seq").alias("obs_id"), "error")
+    return identity.cleaned(table(spark, d, "file_observation")).select(F.col("seq").alias("obs_id"), "error")
 
 
 _M = "WITH p AS (SELECT id, CASE WHEN trim(replace(archive_path, '\\', '/'), '/') = '' THEN archive_path ELSE trim(replace(archive_path, '\\', '/'), '/') END AS path FROM ufid_archive_member WHERE archive_path IS NOT NULL)"
