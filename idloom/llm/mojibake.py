@@ -46,6 +46,7 @@ LAYERS = 3
 BAD = re.compile("[�\x80-\x84\x86-\x9f]")
 NOT_ASCII = re.compile("[^\x00-\x7f]")
 CHUNK = re.compile("[^ /\n\t]+")
+BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
 
 
 def _folds() -> np.ndarray:
@@ -78,23 +79,28 @@ def _points(text: str) -> np.ndarray:
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """(kind, slot, n): characters (kind 0) and pairs (kinds 1 and 2, one for each
-    hash) counted by slot of tables of fixed size, whatever the corpus."""
+    """(kind, slot, n, once): characters (kind 0) and pairs (kinds 1 and 2, one for
+    each hash) counted by slot of tables of fixed size, whatever the corpus: ``n``
+    over all texts, ``once`` with copies of a text counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars = np.zeros(1 << CHAR_BITS, np.int64)
-        pairs = [np.zeros(1 << PAIR_BITS, np.int64) for _ in range(2)]
+        tables = [np.zeros((2, 1 << bits), np.int64) for bits in (CHAR_BITS, PAIR_BITS, PAIR_BITS)]
         for b in batches:
-            cp = _fold(_points("\n" + "\n".join(t or "" for t in b.column(0).to_pylist()) + "\n"))
-            for table, key in zip(pairs, _pair_keys(cp[:-1], cp[1:])):
-                np.add.at(table, key, 1)
-            chars += np.bincount(cp & (len(chars) - 1), minlength=len(chars))
-        for kind, table in enumerate((chars, *pairs)):
-            at = np.flatnonzero(table)
+            split = [t or "" for t in b.column(0).to_pylist()]
+            cp = _fold(_points("\n".join(split) + "\n"))
+            copies = np.repeat(b.column(1).to_numpy(), np.fromiter(map(len, split), np.int64, len(split)) + 1)
+            before = np.concatenate([[10], cp[:-1]]).astype(np.uint32)
+            before[0] = _fold(before[:1])[0]
+            for table, key in zip(tables, (cp & ((1 << CHAR_BITS) - 1), *_pair_keys(before, cp))):
+                np.add.at(table[0], key, copies)
+                np.add.at(table[1], key, 1)
+        for kind, (n, once) in enumerate(tables):
+            at = np.flatnonzero(n)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at.astype(np.int32)), pa.array(table[at])], names=["kind", "slot", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(once[at])], names=["kind", "slot", "n", "once"])
 
-    return texts.mapInArrow(run, "kind byte, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+    copies = texts.groupBy(F.col(texts.columns[0]).alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    return copies.mapInArrow(run, "kind byte, slot int, n long, once long").groupBy("kind", "slot").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
 
 
 @lru_cache(maxsize=100_000)
@@ -108,9 +114,11 @@ def _break(a: str, b: str) -> float:
 
 
 class Model:
-    """The worth of pairs, and texts restored by it."""
+    """The worth of pairs, and texts restored by it; ``once`` is the model with
+    copies of a text counted once, as many make a garbled one probable."""
 
-    def __init__(self, kind=(), slot=(), n=()):
+    def __init__(self, kind=(), slot=(), n=(), once=None):
+        self.once = Model(kind, slot, once) if once is not None else None
         kind, slot, n = np.asarray(kind, np.int8), np.asarray(slot, np.int64), np.asarray(n, np.float64)
         self.tables = []
         for k, bits in enumerate((CHAR_BITS, PAIR_BITS, PAIR_BITS)):
@@ -122,14 +130,14 @@ class Model:
     def of(cls, texts: DataFrame) -> "Model":
         """At most 2 * 2**PAIR_BITS + 2**CHAR_BITS rows come to the driver, as Arrow."""
         got = pair_counts(texts).toArrow()
-        return cls(*(got.column(c).to_numpy() for c in ("kind", "slot", "n")))
+        return cls(*(got.column(c).to_numpy() for c in ("kind", "slot", "n", "once")))
 
     def __getstate__(self):
         used = [np.flatnonzero(t) for t in self.tables]
-        return self.total, [(len(t), at, t[at]) for t, at in zip(self.tables, used)]
+        return self.total, [(len(t), at, t[at]) for t, at in zip(self.tables, used)], self.once
 
     def __setstate__(self, state):
-        self.total, self.tables = state[0], []
+        self.total, self.tables, self.once = state[0], [], state[2]
         for size, at, n in state[1]:
             self.tables.append(np.zeros(size, np.float32))
             self.tables[-1][at] = n
@@ -189,7 +197,7 @@ class Model:
         garbled = bool(BAD.search(chunk))
         text = chunk
         for _ in range(LAYERS):
-            new = self._once(text)
+            new = self._once(text) or (self.once and self.once._once(text)) or (self.once or self)._probable(text)
             if new is None:
                 break
             text, garbled = new, True
@@ -220,6 +228,56 @@ class Model:
                     best, best_gain = new, gain
         return best
 
+    def _probable(self, text: str) -> str | None:
+        """The text with its runs beyond ASCII read as UTF-8, whatever their pairs are worth.
+
+        A garbled word may be so frequent that its own pairs are probable: where
+        the run says by itself that it is garbled, its pairs count as unseen.
+        """
+        best, best_gain, lack = None, LEAST_GAIN, None
+        for m in BEYOND_ASCII.finditer(text):
+            a, b = m.span()
+            for y in utf8_readings(m.group()):
+                new = text[:a] + y + text[b:]
+                old = lack = self.lack(text)[0] if lack is None else lack
+                if _letters_again(text[a - 1 : a], m.group(), y, text[b : b + 1]):
+                    t = " " + text + " "
+                    old += sum(min(FULL, self.worth(t[i], t[i + 1])) for i in range(a, b + 1))
+                gain = old - self.lack(new)[0] + UTF8_BONUS
+                if gain > best_gain:
+                    best, best_gain = new, gain
+        return best
+
+
+@lru_cache(maxsize=100_000)
+def utf8_readings(run: str) -> list[str]:
+    """Different texts that the bytes of a whole run are in UTF-8."""
+    out = []
+    for shown in SHOWN:
+        if len(run) < 2 and shown not in WIDE_SHOWN:
+            continue
+        raw = _bytes(run, shown)
+        if raw is None or raw.isascii():
+            continue
+        try:
+            y = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if y != run and not BAD.search(y) and y.isprintable() and y not in out:
+            out.append(y)
+    return out
+
+
+def _letters_again(before: str, run: str, new: str, after: str) -> bool:
+    """Whether a run with signs in it becomes letters of one script, Latin or (two at
+    least) Cyrillic, that fit the letters beside it."""
+    if run.isalpha() or not new.isalpha():
+        return False
+    latin = all("\xc0" <= c <= "\u017f" for c in new)
+    if not latin and (len(new) < 2 or not all("\u0400" <= c <= "\u04ff" for c in new)):
+        return False
+    return not any(_break(x, y) for x, y in zip(before + new, (before + new)[1:] + after) if y)
+
 
 def _bytes(text: str, enc: str) -> bytes | None:
     """Bytes the text was shown from; C1 controls stand for themselves."""
@@ -234,6 +292,7 @@ def _bytes(text: str, enc: str) -> bytes | None:
         return None
 
 
+@lru_cache(maxsize=100_000)
 def candidates(run: str) -> list[tuple[str, bool]]:
     """Different texts the run may have been, and whether UTF-8 says so."""
     out: dict[str, bool] = {}

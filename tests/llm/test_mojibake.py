@@ -43,6 +43,23 @@ def test_found_and_restored(spark):
     assert right >= 0.9 * len(want)
 
 
+def test_repeated_garbled_texts_are_found(spark):
+    rows, _ = _corpus()
+    n = len(rows)
+    garbled = "BoÃ®te Ã\xa0 disquettes"
+    df = spark.createDataFrame(rows + [("t", n + i, garbled) for i in range(n // 12)] + [("t", 2 * n + i, f"BoÃ®te {i}.img") for i in range(n // 12)], "table_name string, row_id long, text string")
+    got = {r.row_id: r.restored for r in m.find_garbled(m.rows_of(df, "t", "row_id", "text")).collect()}
+    assert {got.get(n + i) for i in range(n // 12)} == {"Boîte à disquettes"}
+    assert all(got.get(2 * n + i) == f"Boîte {i}.img" for i in range(n // 12))
+
+
+def test_frequent_sound_texts_stay(spark):
+    # bytes of these are UTF-8 in some encoding as well
+    sound = ["её", "так", "weiß“", "«étude»", "CAFÉ»", "ﾂｱ"]
+    df = spark.createDataFrame([("t", i, sound[i % len(sound)]) for i in range(1200)], "table_name string, row_id long, text string")
+    assert m.find_garbled(m.rows_of(df, "t", "row_id", "text")).collect() == []
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "row_id long, text string")
     assert m.find_garbled(m.rows_of(df, "t", "row_id", "text")).collect() == []
