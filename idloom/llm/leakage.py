@@ -27,7 +27,11 @@ JOINERS = "-'\u2019\u2010\u2011\xad"
 WORD = re.compile(r"[^\W_]+")
 MARKED = re.compile(rf"[^\W_]+(?:[{JOINERS}]+[^\W_]+)*")
 #: A phrase is a seed if at most so many items have it; its length is bounded.
+#: Where more items share the longest phrase, the shortest one that no others have
+#: is a seed of them all.
 SEED_ITEMS, SEED_WORDS = 2, 6
+#: Pairs of a hit and an item that are weighed at once.
+HIT_PAIRS = 4_000_000
 #: Share of an item's places whose seeds must occur before a text is aligned: of
 #: half an item, one change in twenty of its words and six seeds each leave so much.
 SEED_SHARE = 0.15
@@ -50,11 +54,17 @@ def words(text: str) -> list[str]:
 
 
 class Items:
-    """The passages of a block: vocabulary, words by id, and seed phrases."""
+    """The passages of a block: vocabulary, words by id, and seed phrases.
+
+    Items of the same words are one passage with several ids.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [r[0] for r in rows]
-        split = [words(r[1]) for r in rows]
+        same = defaultdict(list)
+        for i, text in rows:
+            same[tuple(words(text))].append(i)
+        self.ids = list(same.values())
+        split = list(same)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for s in split for w in s}), 1)}
         self.words = [np.array([self.vocabulary[w] for w in s], np.int64) for s in split]
         owners: list[dict[tuple, set[int]]] = [defaultdict(set) for _ in range(SEED_WORDS + 1)]
@@ -67,8 +77,12 @@ class Items:
         for n, s in enumerate(self.words):
             t = s.tolist()
             for i in range(len(t)):
-                for k in range(1, min(SEED_WORDS, len(t) - i) + 1):
-                    if len(owners[k][p := tuple(t[i : i + k])]) <= SEED_ITEMS or k == min(SEED_WORDS, len(t) - i) and len(t) <= SEED_WORDS:
+                longest = min(SEED_WORDS, len(t) - i)
+                # a few last words that many items have say nothing
+                whole = longest == SEED_WORDS or len(t) <= SEED_WORDS
+                least = max(SEED_ITEMS, len(owners[longest][tuple(t[i : i + longest])]) if whole else 0)
+                for k in range(1, longest + 1):
+                    if len(owners[k][p := tuple(t[i : i + k])]) <= least:
                         at[p].append((n, i))
                         break
         self.lengths = np.array([len(p) for p in at], np.int64)
@@ -225,8 +239,18 @@ def _shard(items: Items, least_share: float, most_changed: float, shard_chars: i
         run = np.arange(len(phrase)) - np.repeat(np.cumsum(counts[hit]) - counts[hit], counts[hit])
         place = index.locate(lo[phrase] + run)
         doc = np.searchsorted(starts, place, side="right") - 1
-        # one (text, item, place in item) for each owner of a phrase
+        # slices of whole texts, so that phrases of many items take bounded memory
         owners = items.owner_start[phrase + 1] - items.owner_start[phrase]
+        order = np.argsort(doc, kind="stable")
+        doc, phrase, owners = doc[order], phrase[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        part = (np.cumsum(owners) - owners)[first] // HIT_PAIRS
+        cuts = first[1:][part[1:] != part[:-1]]
+        for d, f, o in zip(np.split(doc, cuts), np.split(phrase, cuts), np.split(owners, cuts)):
+            yield from weigh(d, f, o, sym, starts, n, ids, texts)
+
+    def weigh(doc, phrase, owners, sym, starts, n: int, ids: list[int], texts: list[str]) -> Iterator[tuple]:
+        # one (text, item, place in item) for each owner of a phrase
         rep = np.repeat(np.arange(len(phrase)), owners)
         own = items.owner_start[phrase[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(owners) - owners, owners)
         longest = max(len(w) for w in items.words) + 1
@@ -245,7 +269,8 @@ def _shard(items: Items, least_share: float, most_changed: float, shard_chars: i
                 marks = [m.span() for m in MARKED.finditer(texts[d])]
                 if len(marks) != end - starts[d]:
                     marks = [m.span() for m in MARKED.finditer(normal(texts[d]))]
-                yield ids[d], items.ids[i], len(item), total, changed, total / len(item), [{"first": marks[a][0], "last": marks[b - 1][1]} for a, b in spans]
+                for item_id in items.ids[i]:
+                    yield ids[d], item_id, len(item), total, changed, total / len(item), [{"first": marks[a][0], "last": marks[b - 1][1]} for a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("carried_words", pa.int32()), ("changed_words", pa.int32()), ("share", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])

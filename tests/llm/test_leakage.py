@@ -88,6 +88,20 @@ def test_leaks_are_found_and_quotes_are_not(spark):
     assert {r.doc_id for r in spans} == {x for x, _ in want}
 
 
+def test_items_that_share_their_text_are_found(spark):
+    r = random.Random(6)
+    text = [f"v{r.randrange(90)}" for _ in range(60)]
+    other = [f"o{r.randrange(90)}" for _ in range(60)]
+    near = lambda n: " ".join([*other[:30], f"name{n}", *other[31:]])
+    items = [(n, " ".join(text)) for n in range(4)] + [(10 + n, near(n)) for n in range(5)]
+    docs = [(0, "Before. " + " ".join(text).upper() + " after"), (1, " ".join(text[:40])), (2, "x " + near(2)), (3, " ".join(text[:12])), (4, " ".join(other[:40]))]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, n) for d in (0, 1) for n in range(4)} | {(d, 10 + n) for d in (2, 4) for n in range(5)}
+    for block in (5000, 3):
+        got = lk.find_leaks(d, e, block=block).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     e = spark.createDataFrame([(1, "some words here")], "item_id long, text string")
