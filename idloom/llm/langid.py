@@ -164,6 +164,22 @@ class Profiles:
         n = np.bincount(st.gram_unit, minlength=st.n_units)
         return mixed / np.sqrt(np.maximum(n, 1))[:, None], prose
 
+    def whole(self, st: Stream, score: np.ndarray, prose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with each text that has no prose unit as one unit of its short ones."""
+        with_prose = np.zeros(st.n_docs, bool)
+        with_prose[st.unit_doc[prose]] = True
+        short = ~with_prose[st.unit_doc] & (st.letters > 0)
+        if not short.any():
+            return score, prose
+        use = short[st.gram_unit]
+        doc = st.unit_doc[st.gram_unit[use]]
+        rows = self.row[st.grams[use]]
+        total = np.stack([np.bincount(doc, weights=self.score[rows, k], minlength=st.n_docs) for k in range(self.score.shape[1])], axis=1)
+        total /= np.sqrt(np.maximum(np.bincount(doc, minlength=st.n_docs), 1))[:, None]
+        # without a known trigram nothing is known
+        short &= (total.max(axis=1) > 0)[st.unit_doc]
+        return np.where(short[:, None], total[st.unit_doc], score), prose | short
+
 
 def sample_of(documents: DataFrame, per_language: int) -> list[tuple[str, str]]:
     """About ``per_language`` labelled texts a language, by a hash of the id; never more than twice as many in all."""
@@ -197,7 +213,7 @@ def fit(sample: list[tuple[str, str]], rounds: int = 2, dim: int = 4096, seed: i
 def segments(profiles: Profiles, ids: list[int], texts: list[str]) -> pa.RecordBatch:
     """Runs of prose units of one language: place in the text, letters, confidence."""
     st = Stream(texts)
-    score, prose = profiles.units(st)
+    score, prose = profiles.whole(st, *profiles.units(st))
     u = np.flatnonzero(prose)
     lang, doc = score[u].argmax(axis=1), st.unit_doc[u]
     top = np.sort(score[u], axis=1)
@@ -241,7 +257,7 @@ def language_segments(documents: DataFrame, profiles: Profiles, chunk_chars: int
 
 def document_languages(documents: DataFrame, profiles: Profiles, chunk_chars: int = 1_500_000) -> DataFrame:
     """(doc_id, label, langs): a text's languages with share and confidence, the
-    largest first, made in the task that reads it; a text without prose has none.
+    largest first, made in the task that reads it; a text without letters has none.
 
     Null ids are left out, a null text counts as empty, repeated rows stay rows.
     """

@@ -58,6 +58,20 @@ def test_labels_and_mixed_texts(spark):
         assert 0 <= s.first < s.last <= len(text[s.doc_id]) + 1 and s.letters > 0
 
 
+def test_texts_of_short_lines_have_a_language(spark):
+    r = random.Random(4)
+    p = l.fit([(lang, _text(r, lang)) for lang in l.LANGS for _ in range(20)])
+    rows = []
+    for i, lang in enumerate(l.LANGS):
+        w = [w for s in SENTENCES[lang].split("|") for w in s.split()]
+        rows.append((i, "\n".join(" ".join(w[k : k + 3]) for k in range(0, len(w), 3)), None, 0, ""))
+    df = spark.createDataFrame([*rows, (100, "12 34\n--", None, 0, "")], SCHEMA)
+    got = {x.doc_id: x.lang for x in l.mislabelled(l.document_languages(df, p)).collect()}
+    assert got == dict(enumerate(l.LANGS))
+    segs = l.language_segments(df, p).collect()
+    assert {s.doc_id: s.lang for s in segs} == got and len(segs) == len(got)
+
+
 def test_held_out_accuracy(spark):
     r = random.Random(9)
     train = [(lang, _text(r, lang)) for lang in l.LANGS for _ in range(20)]
