@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from idloom.functions.hashes import strip
 
@@ -181,13 +182,27 @@ class Profiles:
         return np.where(short[:, None], total[st.unit_doc], score), prose | short
 
 
+#: Characters of the sample a language, as a multiple of the texts asked for.
+SAMPLE_CHARS = 20_000
+
+
 def sample_of(documents: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` labelled texts a language, by a hash of the id; never more than twice as many in all."""
-    labelled = documents.where("doc_id is not null and text is not null").select("doc_id", label_code(F.col("lang")).alias("code"), "text").where("code is not null")
-    sizes = dict(labelled.groupBy("code").count().collect())
+    """About ``per_language`` labelled texts a language, whole ones, by a hash of id
+    and text; copies count once.
+
+    Of each language the lowest hashes are kept, at most twice as many texts and,
+    from the second text on, ``SAMPLE_CHARS`` characters a text asked for, so that
+    every run draws the same texts.
+    """
+    h = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    labelled = documents.where("doc_id is not null and text is not null").select("doc_id", label_code(F.col("lang")).alias("code"), "text", h.alias("h")).where("code is not null")
+    sizes = dict(labelled.groupBy("code").agg(F.count_distinct("h")).collect())
     share = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(1.0, per_language / n))) for c, n in sizes.items()]) if sizes else F.lit(0.0)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) / 1e6
-    rows = labelled.where(draw < share).select("code", F.substring("text", 1, 20_000).alias("text")).limit(2 * per_language * len(LANGS)).collect()
+    draw = F.pmod("h", F.lit(1_000_000)) / 1e6
+    drawn = labelled.where(draw < share).dropDuplicates(["code", "h"])
+    w = W.partitionBy("code").orderBy("h")
+    kept = drawn.select("code", "h", F.row_number().over(w).alias("k"), F.sum(F.char_length("text")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("chars"), "text")
+    rows = kept.where((F.col("k") == 1) | ((F.col("k") <= 2 * per_language) & (F.col("chars") <= SAMPLE_CHARS * per_language))).orderBy("code", "h").select("code", "text").collect()
     return [(r[0], r[1]) for r in rows]
 
 

@@ -72,6 +72,17 @@ def test_texts_of_short_lines_have_a_language(spark):
     assert {s.doc_id: s.lang for s in segs} == got and len(segs) == len(got)
 
 
+def test_sample_has_whole_texts_and_all_languages(spark):
+    r = random.Random(8)
+    long = _text(r, "fr", 600)
+    rows = [(7, _text(r, "en", 3), "en", 0, "")] * 2000 + [(8, long, "fr", 0, "")] + [(10 + i, _text(r, "de"), "de", 0, "") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = l.sample_of(df, 30)
+    assert len(long) > 20_000 and ("fr", long) in got
+    assert sum(c == "en" for c, _ in got) == 1 and 10 <= sum(c == "de" for c, _ in got) <= 60
+    assert got == l.sample_of(df.repartition(7), 30)
+
+
 def test_held_out_accuracy(spark):
     r = random.Random(9)
     train = [(lang, _text(r, lang)) for lang in l.LANGS for _ in range(20)]
