@@ -10,6 +10,7 @@ flows, and a document is used once for each of its starts inside a source's cut.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from fractions import Fraction
 from math import ceil
@@ -125,9 +126,12 @@ def targets_of(targets: DataFrame, most: int = 10_000) -> list[tuple[str, float,
 def plan(docs: DataFrame, targets: list[tuple[str, float, int]], sep: str = "|") -> tuple[Route, dict[str, int], int]:
     """The routing for documents (doc_id, pattern, tokens), pattern tokens, total.
 
-    A pattern of several sources joins their names by ``sep``.
+    A pattern of several sources joins their names by ``sep``.  Patterns without a
+    target source count in the total only and are summed as one.
     """
-    rows = docs.groupBy("pattern").agg(F.sum("tokens").alias("t")).limit(MAX_PATTERNS + 1).collect()
+    names = F.array(*[F.lit(s) for s, _, _ in targets]).cast("array<string>")
+    target = F.when(F.arrays_overlap(F.split("pattern", re.escape(sep)), names), F.col("pattern"))
+    rows = docs.groupBy(target.alias("pattern")).agg(F.sum("tokens").alias("t")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError("too many membership patterns")
     sums = {r[0]: int(r[1] or 0) for r in rows}

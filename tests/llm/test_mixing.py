@@ -54,6 +54,14 @@ def test_overlapping_patterns(spark):
     assert max(u.copies for u in used) == 1 and len({u.doc_id for u in used}) == 120
 
 
+def test_many_sources_without_target(spark):
+    n = mx.MAX_PATTERNS + 5
+    docs = spark.range(n).selectExpr("id doc_id", "concat('dirt', id) pattern", "1L tokens").unionByName(spark.createDataFrame([(n, "a", n), (n + 1, "dirt0|b", 5), (n + 2, None, 2)], DOCS))
+    short = {x.source: x for x in mx.shortages(docs, [("a", 0.5, 1), ("b", 0.5, 1)]).collect()}
+    assert short["a"].quota_tokens == -(-(2 * n + 7) // 2) and short["a"].routed_tokens == n and short["b"].routed_tokens == 5
+    assert mx.shortages(docs, []).collect() == []
+
+
 def test_tokens_and_empty(spark):
     df = spark.createDataFrame([(1, " Readme ", "Hello world"), (2, None, None), (3, "x", "")], "doc_id long, source string, text string")
     assert [(r.doc_id, r.pattern, r.tokens) for r in mx.prepared(df).orderBy("doc_id").collect()] == [(1, "readme", 2), (2, None, 0), (3, "x", 0)]
