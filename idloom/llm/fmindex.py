@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 
-PACK, BITS = 3, 20
 
 
 class WaveletMatrix:
@@ -58,12 +57,15 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
     """Order of all suffixes; ``sym`` is 0 at separators and at the last place."""
     n = len(sym)
     gap = sym == 0
-    ahead = np.concatenate([sym, np.zeros(PACK, sym.dtype)]).astype(np.int64)
+    # as many words as 63 bits hold are compared at once
+    bits = max(1, int(sym.max(initial=1)).bit_length())
+    pack = min(n, 3, 63 // bits)
+    ahead = np.concatenate([sym, np.zeros(pack, sym.dtype)]).astype(np.int64)
     key, cut = np.zeros(n, np.int64), gap.copy()
-    for k in range(PACK):
+    for k in range(pack):
         part = np.where(cut, 0, ahead[k : k + n])
         cut |= part == 0
-        key = (key << BITS) | part
+        key = (key << bits) | part
     order = np.argsort(key, kind="stable")
     ks, open_ = key[order], ~cut[order]
     # a suffix cut by a separator is settled: equal ones follow by place
@@ -72,7 +74,7 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = head
-    width = PACK
+    width = pack
     tied = np.zeros(n, bool)
     tied[1:] |= ~new[1:]
     tied[:-1] |= ~new[1:]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -107,3 +108,55 @@ def test_empty_tables(spark):
     e = spark.createDataFrame([(1, "some words here")], "item_id long, text string")
     assert lk.find_leaks(d, e).collect() == []
     assert lk.find_leaks(d.union(spark.createDataFrame([(1, "a")], d.schema)), e.limit(0)).collect() == []
+
+
+def test_many_equal_and_templated_items(spark):
+    r = random.Random(8)
+    word = lambda: f"q{r.randrange(300)}"
+    same = [[word() for _ in range(40)] for _ in range(2)]
+    frame = [word() for _ in range(50)]
+    # fifty items that differ in three words of a common frame
+    filled = [[*frame[:10], f"a{n}", *frame[10:25], f"b{n}", *frame[25:40], f"c{n}", *frame[40:]] for n in range(50)]
+    items = [(n, " ".join(same[0])) for n in range(3)] + [(100 + n, " ".join(same[1])) for n in range(50)] + [(200 + n, " ".join(f)) for n, f in enumerate(filled)]
+    docs = [(0, " ".join(same[0])), (1, "one " + " ".join(same[1][:25])), (2, " ".join(filled[7])), (3, " ".join(frame[:12]))]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(0, n) for n in range(3)} | {(1, 100 + n) for n in range(50)} | {(2, 200 + n) for n in range(50)}
+    for block in (5000, 7):
+        assert {(x.doc_id, x.item_id) for x in lk.find_leaks(d, e, block=block).collect()} == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(20, 120), st.integers(3, 400))
+def test_texts_that_carry_an_item_have_the_seeds_it_needs(seed, n, vocab):
+    r = random.Random(seed)
+    passages = [np.array([r.randrange(1, vocab) for _ in range(n)], np.int64) for _ in range(6)]
+    items = lk.Items([[i] for i in range(6)], passages)
+    seeds = [[(int(items.owner_place[o]), items.phrases[p, : items.lengths[p]].tolist()) for p in range(len(items.lengths)) for o in range(items.owner_start[p], items.owner_start[p + 1]) if items.owner_item[o] == i] for i in range(6)]
+    for i, words in enumerate(passages):
+        carry = -(-n // 2)
+        cut = r.randrange(carry + 1)
+        a = r.randrange(n - carry + 1)
+        b = r.randrange(a + cut, n - (carry - cut) + 1)
+        kept = list(range(a, a + cut)) + list(range(b, b + carry - cut))
+        gone = set(r.sample(kept, int(0.1 * carry)))
+        text = []
+        for k in kept:
+            text += [0] * (k == b) + [0 if k in gone else int(words[k])]
+        here = {tuple(text[s : s + w]) for s in range(len(text)) for w in range(1, 7)}
+        assert sum(tuple(p) in here for _, p in seeds[i]) >= items.needed[i] or items.needed[i] == 1
+
+
+def test_long_texts_take_memory_by_their_length():
+    r = np.random.default_rng(3)
+    item = r.integers(1, 50, 300)
+    text = r.integers(1, 50, 400_000)
+    text[150_000:150_180] = item[:180]
+    [(total, changed, spans)] = lk.carried([(item, text)])
+    assert 180 <= total <= 200 and changed <= 0.1 * total and spans[0][0] <= 150_000 and spans[-1][1] >= 150_180
+    assert lk.carried([(item, r.integers(1, 50, 5000))])[0][0] < 150
+
+
+def test_items_have_a_bound(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        lk.find_leaks(d, d.withColumnRenamed("doc_id", "item_id"), most_chars=3)
