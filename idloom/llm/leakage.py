@@ -44,6 +44,8 @@ MAX_ITEM_CHARS = 100_000_000
 SPAN = 4
 #: Candidates weighed at once, and cells of the tables that align them at once.
 AT_ONCE, CELLS = 2_000, 400_000
+#: Every so many suffix positions are kept.
+SAMPLED = 4
 #: Tenths that an equal word is worth, and what changed, lost and added words cost.
 MATCH, CHANGED, LOST, ADDED = 10, -20, -15, -4
 
@@ -90,6 +92,7 @@ class Items:
 
     def __init__(self, ids: list[list[int]], passages: list[np.ndarray], least_share: float = 0.5, most_changed: float = 0.1):
         self.ids, self.words = ids, passages
+        self.pairs = [word_pairs(w) for w in passages]
         size = np.array([len(w) for w in passages], np.int64)
         flat = np.concatenate(passages)
         item = np.repeat(np.arange(len(passages)), size)
@@ -238,17 +241,18 @@ def _scores(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     a, b = np.full((n, len(items), 1), -1, np.int32), np.full((len(items), m), -2, np.int32)
     for k, (x, y) in enumerate(zip(items, texts)):
         a[: len(x), k, 0], b[k, : len(y)] = x, y
-    h = np.zeros((n + 1, len(items), m + 1), np.int32)
-    slope = (-ADDED * np.arange(m)).astype(np.int32)
-    row, lost, same = np.empty(b.shape, np.int32), np.empty(b.shape, np.int32), np.empty(b.shape, bool)
+    kind = np.int16 if MATCH * n - ADDED * m - LOST < 1 << 15 else np.int32
+    h = np.zeros((n + 1, len(items), m + 1), kind)
+    slope = (-ADDED * np.arange(m)).astype(kind)
+    row, lost, same = np.empty(b.shape, kind), np.empty(b.shape, kind), np.empty(b.shape, bool)
     for i in range(n):
         np.equal(b, a[i], out=same)
-        np.multiply(same, np.int32(MATCH - CHANGED), out=row)
+        np.multiply(same, kind(MATCH - CHANGED), out=row)
         row += h[i, :, :-1]
-        row += np.int32(CHANGED)
-        np.add(h[i, :, 1:], np.int32(LOST), out=lost)
+        row += kind(CHANGED)
+        np.add(h[i, :, 1:], kind(LOST), out=lost)
         np.maximum(row, lost, out=row)
-        np.maximum(row, np.int32(0), out=row)
+        np.maximum(row, kind(0), out=row)
         row += slope
         np.maximum.accumulate(row, axis=1, out=row)
         np.subtract(row, slope, out=h[i + 1, :, 1:])
@@ -302,9 +306,10 @@ def _weigh(ways: list, n: int, least_share: float, most_changed: float) -> tuple
     return changed <= most_changed * total and total >= least_share * n, total, changed, [(p[0][1], p[-1][1] + 1) for p in way]
 
 
-def carried(pairs: list[tuple[np.ndarray, np.ndarray]], least_share: float = 0.5, most_changed: float = 0.1) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def carried(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], least_share: float = 0.5, most_changed: float = 0.1) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """For each item and text: item words that one or two passages of the text
     carry in order, how many of them are not equal, and the passages as word ranges.
+    Each comes with the numbers of its ``word_pairs``.
 
     The two passages are the best two stretches of the best alignment, or the
     best alignment and the best one before or after it, whichever leaves the
@@ -312,13 +317,13 @@ def carried(pairs: list[tuple[np.ndarray, np.ndarray]], least_share: float = 0.5
     word pairs carries 0.
     """
     jobs = []
-    for item, text in pairs:
+    for item, text, item_pairs, text_pairs in pairs:
         n, m = len(item), len(text)
-        flags, half = hit_bands(word_pairs(item), word_pairs(text), n)
+        flags, half = hit_bands(item_pairs, text_pairs, n)
         enough = in_runs(flags) >= least_in_runs(least_share * n, most_changed)
         jobs.append((item, text, (_windows(flags, half, n, m) if n > 2 else [(0, m)]) if enough else []))
     out, open_, more = [(0, 0, [])] * len(pairs), {}, []
-    for k, ((item, text), best) in enumerate(zip(pairs, _locals(jobs))):
+    for k, ((item, text, item_pairs, text_pairs), best) in enumerate(zip(pairs, _locals(jobs))):
         if not best:
             continue
         n, ways = len(item), [[best]]
@@ -333,9 +338,9 @@ def carried(pairs: list[tuple[np.ndarray, np.ndarray]], least_share: float = 0.5
         missing = least_in_runs(least_share * n - (i1 + 1 - i0), most_changed) - 1
         for i, j, before in ((i0, j0, True), (i1 + 1, j1 + 1, False)):
             a, b = (item[:i], text[:j]) if before else (item[i:], text[j:])
-            if len(a) < 2 or len(b) < 2:
+            if len(a) < max(2, missing) or len(b) < 2:
                 continue
-            flags, half = hit_bands(word_pairs(a), word_pairs(b), len(a))
+            flags, half = hit_bands(item_pairs[: i - 1] if before else item_pairs[i:], text_pairs[: j - 1] if before else text_pairs[j:], len(a))
             if in_runs(flags) >= max(3, missing):
                 open_[k] = ways
                 more.append(((a, b, _windows(flags, half, len(a), len(b))), k, best, 0 if before else i, 0 if before else j, before))
@@ -365,7 +370,7 @@ def symbols_of(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray
 def _shard(vocabulary: dict[str, int], blocks: list, least_share: float, most_changed: float, shard_chars: int):
     from idloom.llm.batches import text_chunks
 
-    def search(items: Items, index: FMIndex, sym: np.ndarray, starts: np.ndarray, ids: list[int], texts: list[str]) -> Iterator[tuple]:
+    def search(items: Items, index: FMIndex, sym: np.ndarray, text_pairs: np.ndarray, starts: np.ndarray, ids: list[int], texts: list[str]) -> Iterator[tuple]:
         lo, hi = index.search(items.phrases, items.lengths)
         counts = hi - lo
         hit = np.flatnonzero(counts)
@@ -382,9 +387,9 @@ def _shard(vocabulary: dict[str, int], blocks: list, least_share: float, most_ch
         part = (np.cumsum(owners) - owners)[first] // HIT_PAIRS
         cuts = first[1:][part[1:] != part[:-1]]
         for d, f, o in zip(np.split(doc, cuts), np.split(phrase, cuts), np.split(owners, cuts)):
-            yield from weigh(items, d, f, o, sym, starts, ids, texts)
+            yield from weigh(items, d, f, o, sym, text_pairs, starts, ids, texts)
 
-    def weigh(items: Items, doc, phrase, owners, sym, starts, ids: list[int], texts: list[str]) -> Iterator[tuple]:
+    def weigh(items: Items, doc, phrase, owners, sym, text_pairs, starts, ids: list[int], texts: list[str]) -> Iterator[tuple]:
         # one (text, item, place in item) for each owner of a phrase
         rep = np.repeat(np.arange(len(phrase)), owners)
         own = items.owner_start[phrase[rep]] + np.arange(len(rep)) - np.repeat(np.cumsum(owners) - owners, owners)
@@ -398,8 +403,8 @@ def _shard(vocabulary: dict[str, int], blocks: list, least_share: float, most_ch
             todo = []
             for d, i in (divmod(p, len(items.ids)) for p in pairs[ok][s : s + AT_ONCE].tolist()):
                 end = starts[d + 1] if d + 1 < len(starts) else len(sym)
-                todo.append((d, i, items.words[i], sym[starts[d] : end - 1]))
-            for (d, i, item, text), (total, changed, spans) in zip(todo, carried([t[2:] for t in todo], least_share, most_changed)):
+                todo.append((d, i, items.words[i], sym[starts[d] : end - 1], items.pairs[i], text_pairs[starts[d] : max(starts[d], end - 2)]))
+            for (d, i, item, text, _, _), (total, changed, spans) in zip(todo, carried([t[2:] for t in todo], least_share, most_changed)):
                 if total < least_share * len(item) or changed > most_changed * total:
                     continue
                 marks = [m.span() for m in MARKED.finditer(texts[d])]
@@ -414,9 +419,9 @@ def _shard(vocabulary: dict[str, int], blocks: list, least_share: float, most_ch
         for ids, texts in text_chunks(batches, shard_chars):
             sym, starts = symbols_of(texts, known)
             # one index for all blocks of items
-            index = FMIndex(sym, len(vocabulary))
+            index, text_pairs = FMIndex(sym, len(vocabulary), SAMPLED), word_pairs(sym)
             for b in blocks:
-                rows = list(search(b.value if hasattr(b, "value") else b, index, sym, starts, ids, texts))
+                rows = list(search(b.value if hasattr(b, "value") else b, index, sym, text_pairs, starts, ids, texts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -151,9 +151,10 @@ def test_long_texts_take_memory_by_their_length():
     item = r.integers(1, 50, 300)
     text = r.integers(1, 50, 400_000)
     text[150_000:150_180] = item[:180]
-    [(total, changed, spans)] = lk.carried([(item, text)])
+    [(total, changed, spans)] = lk.carried([(item, text, lk.word_pairs(item), lk.word_pairs(text))])
     assert 180 <= total <= 200 and changed <= 0.1 * total and spans[0][0] <= 150_000 and spans[-1][1] >= 150_180
-    assert lk.carried([(item, r.integers(1, 50, 5000))])[0][0] < 150
+    text = r.integers(1, 50, 5000)
+    assert lk.carried([(item, text, lk.word_pairs(item), lk.word_pairs(text))])[0][0] < 150
 
 
 def test_items_have_a_bound(spark):
