@@ -71,18 +71,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, d: str, element: str, tables: list[str]) -> DataFrame:
-    """One element's rows of the tables named, in one shape; their own fields as JSON."""
+    """One element's rows of the tables named, in one shape; their own fields as
+    JSON, by pointer in the order of the pointers."""
     parts = []
     for t in tables:
-        rows = shred.shred(table(spark, d, t), *_RECORDS[t]).where(F.col("element") == element)
-        parts.append(rows.select(F.lit(t).alias("table_name"), "row_id", "parent_element", "parent_row_id", "identifier", "name", "file_path", F.to_json("fields").alias("fields")))
+        rows = shred.shred(table(spark, d, t), *_RECORDS[t], asked=(element,), only=True)
+        fields = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields"))))
+        parts.append(rows.select(F.lit(t).alias("table_name"), "row_id", "parent_element", "parent_row_id", "identifier", "name", "file_path", fields.alias("fields")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def p5_items(spark: SparkSession, d: str) -> DataFrame:
     how = _RECORDS["ia_ingest_item"]
     records = table(spark, d, "ia_ingest_item")
-    return shred.flat_table(shred.shred(records, *how), shred.plan_of(records, "item"), "item")
+    plan = shred.plan_of(records, "item", ("item",))
+    return shred.flat_table(shred.shred(records, *how, asked=("item",), only=True, plan=plan), plan, "item")
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +145,38 @@ SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN nod
  FROM ufid_archive_member a JOIN ufid_archive_member b ON a.child_file_id = b.parent_file_id JOIN ufid_file f ON f.id = b.child_file_id WHERE a.parent_file_id IS NOT NULL GROUP BY a.parent_file_id""",
 }
 
+
+
+def _opened(x: str) -> str:
+    """The list or object inside a JSON string, else the value: one wrapping."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') AND json_type(({x} ->> '$')::JSON) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN ({x} ->> '$')::JSON ELSE {x} END"
+
+
+_STEP = "'/' || replace(replace({k}, '~', '~0'), '/', '~1')"
+_NAMED = "CASE WHEN json_type({o}, '$.name') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE') THEN {o} ->> '$.name' END"
+#: Objects of a collection: of a list, one with a name, or of a map; (step, name, object).
+_ENTRIES = f"""SELECT CASE WHEN t = 'OBJECT' AND own IS NOT NULL THEN '' ELSE {_STEP.format(k='k')} END AS step, CASE WHEN t = 'OBJECT' AND own IS NOT NULL THEN own WHEN t = 'OBJECT' AND json_type(x, '$.name') IS NULL THEN k ELSE {_NAMED.format(o='x')} END AS name, x
+  FROM (SELECT json_type(c) AS t, {_NAMED.format(o='c')} AS own) JOIN (SELECT key AS k, {_opened('value')} AS x FROM json_each(c) UNION ALL SELECT '', c WHERE json_type(c) = 'OBJECT') ON json_type(x) = 'OBJECT' AND (CASE WHEN t = 'OBJECT' AND own IS NOT NULL THEN k = '' ELSE t IN ('OBJECT', 'ARRAY') AND k <> '' END)"""
+_RECORDS_SQL = f"""raw AS (SELECT 'ia_ingest_item' AS table_name, 'item' AS element, identifier, identifier || '|' || md5(metadata_json) AS rid, try_cast(metadata_json AS JSON) AS o FROM ia_ingest_item UNION SELECT 'ia_ingest_file', 'file', item_identifier, coalesce(item_identifier, '') || '|' || coalesce(name, '') || '|' || md5(metadata_json), try_cast(metadata_json AS JSON) FROM ia_ingest_file),
+ r1 AS (SELECT * REPLACE ({_opened('o')} AS o) FROM raw), r2 AS (SELECT * REPLACE ({_opened('o')} AS o) FROM r1), rec AS MATERIALIZED (SELECT *, {_NAMED.format(o='o')} AS name FROM (SELECT * REPLACE ({_opened('o')} AS o) FROM r2) WHERE json_type(o) = 'OBJECT')"""
+_NODES = f"""WITH RECURSIVE {_RECORDS_SQL},
+ e(table_name, element, row_id, parent_element, parent_row_id, identifier, name, file_path, o) AS (SELECT table_name, element, rid, NULL::VARCHAR, NULL::VARCHAR, identifier, CASE WHEN element = 'file' THEN name END, CASE WHEN element = 'file' THEN name END, o FROM rec WHERE element = 'item' OR trim(name) <> ''
+  UNION ALL SELECT * FROM (SELECT e.table_name, f.child AS element, e.row_id || '/' || f.field || n.step, e.element, e.row_id, e.identifier, n.name, CASE WHEN f.child = 'file' THEN CASE WHEN e.element = 'file' THEN e.file_path || '!/' || n.name ELSE n.name END END AS file_path, n.x
+  FROM e JOIN (VALUES ('item', 'files', 'file'), ('file', 'files', 'file'), ('file', 'members', 'file'), ('file', 'contents', 'file'), ('item', 'reviews', 'review'), ('review', 'replies', 'reply'), ('reply', 'replies', 'reply')) f(parent, field, child) ON f.parent = e.element, LATERAL (SELECT {_opened("json_extract(e.o, '$.' || f.field)")} AS c) q, LATERAL ({_ENTRIES}) n) WHERE element <> 'file' OR trim(name) <> ''),
+ nodes AS MATERIALIZED (SELECT * FROM e),
+ v(table_name, row_id, element, depth, ptr, k, v) AS (SELECT table_name, row_id, element, 0, {_STEP.format(k='j.key')}, j.key, CASE WHEN json_type(j.value) = 'VARCHAR' AND left(j.value ->> '$', 1) IN ('{{', '[') THEN {_opened('j.value')} ELSE j.value END FROM nodes, json_each(nodes.o) j
+  UNION ALL SELECT v.table_name, row_id, element, depth + 1, ptr || {_STEP.format(k='j.key')}, j.key, j.value FROM v, json_each(v.v) j WHERE json_type(v.v) = 'OBJECT' AND (depth > 0 OR (element, k) NOT IN (('item', 'files'), ('file', 'files'), ('file', 'members'), ('file', 'contents'), ('item', 'reviews'), ('review', 'replies'), ('reply', 'replies')))),
+ w AS (SELECT *, json_type(v) AS t, depth = 0 AND (element, k) IN (('item', 'files'), ('file', 'files'), ('file', 'members'), ('file', 'contents'), ('item', 'reviews'), ('review', 'replies'), ('reply', 'replies')) AS held FROM v),
+ fields AS MATERIALIZED (SELECT table_name, row_id, element, ptr, CASE t WHEN 'VARCHAR' THEN v ->> '$' WHEN 'OBJECT' THEN CASE WHEN held AND {_NAMED.format(o='v')} IS NOT NULL THEN NULL WHEN held THEN CASE WHEN len(list_filter(json_extract(v, '$.*'), lambda x: json_type(x) = 'OBJECT')) = 0 THEN v::VARCHAR ELSE (SELECT '[{{' || string_agg(to_json(j.key) || ':' || j.value, ',' ORDER BY j.rowid) || '}}]' FROM json_each(v) j WHERE json_type(j.value) <> 'OBJECT') END WHEN v::VARCHAR = '{{}}' THEN '{{}}' END
+   WHEN 'ARRAY' THEN CASE WHEN len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) = 'OBJECT')) = 0 THEN v::VARCHAR WHEN len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) > 0 THEN to_json(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) <> 'OBJECT'))::VARCHAR END WHEN 'NULL' THEN NULL ELSE v::VARCHAR END AS value FROM w),
+ flat AS (SELECT n.table_name, n.element, n.row_id, parent_element, parent_row_id, identifier, CASE WHEN n.element = 'file' THEN name ELSE {_NAMED.format(o='o')} END AS name, file_path, '{{' || coalesce(string_agg(to_json(ptr) || ':' || to_json(value), ',' ORDER BY ptr) FILTER (value IS NOT NULL), '') || '}}' AS fields FROM nodes n LEFT JOIN fields f ON f.row_id = n.row_id AND f.table_name = n.table_name AND f.element = n.element GROUP BY ALL)
+"""
+_FLAT = _NODES + "SELECT table_name, row_id, parent_element, parent_row_id, identifier, name, file_path, fields FROM flat WHERE element = "
+SQL["p5_found"] = _NODES + "SELECT DISTINCT table_name, identifier, file_path FROM nodes WHERE element = 'file'"
+SQL |= {"p5_files": _FLAT + "'file'", "p5_reviews": _FLAT + "'review'", "p5_replies": _FLAT + "'reply'"}
+_ITEM = "created files item_size metadata/collection metadata/description metadata/identifier metadata/mediatype metadata/subject metadata/subject/main metadata/subject/more metadata/title".split()
+SQL["p5_items"] = _NODES + "SELECT n.row_id, parent_element, parent_row_id, identifier, NULL::VARCHAR AS name, NULL::VARCHAR AS file_path, " + ", ".join(f"any_value(value) FILTER (ptr = '/{c}') AS \"f_{c}\"" for c in _ITEM) + " FROM nodes n LEFT JOIN fields f ON f.row_id = n.row_id AND f.element = 'item' WHERE n.element = 'item' GROUP BY ALL"
+
 _NUMBER_SQL = r"""CASE WHEN regexp_full_match(v, '[+\-\x{2212}]?([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,3}(''[0-9]{3})+|[0-9]{1,3}(\x{2019}[0-9]{3})+|[0-9]{1,3}( [0-9]{3})+|[0-9]{1,3}(\x{a0}[0-9]{3})+|[0-9]{1,3}(\x{202f}[0-9]{3})+|[0-9]{1,3}(\x{2009}[0-9]{3})+)?(\.[0-9]*)?([eE][+\-\x{2212}]?[0-9]+)?')
  AND regexp_matches(v, '^[^eE]*[0-9]') THEN try_cast(regexp_replace(replace(v, chr(8722), '-'), '[,''\x{2019} \x{a0}\x{202f}\x{2009}]', '', 'g') AS DOUBLE) END"""
 _T = r"([t ]+[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?\s*(z|utc|gmt|[ap]m|[+\-][0-9]{2}:?[0-9]{2})?)?"
