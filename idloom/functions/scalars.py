@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,66 @@ def safe_path(identifier: Column, name: Column) -> Column:
     return F.concat_ws("/", safe_component(identifier), F.when(F.size(clean) > 0, F.array_join(clean, "/")).otherwise("_"))
 
 
+#: Where items are kept, and names of files a crawl target makes itself.
+BASE_URL = "https://archive.org"
+ARTIFACT_SUFFIXES = ("_files.xml", "_meta.sqlite", "_meta.xml", "_reviews.xml", "_itemimage.jpg", "_archive.torrent")
+ARTIFACT_NAMES = ("files.xml", "meta.sqlite", "meta.xml", "archive.torrent")
+
+
+def file_url(identifier: Column, name: Column) -> Column:
+    """The address of an item's file."""
+    return F.concat(F.lit(f"{BASE_URL}/download/"), quoted(identifier, keep_slash=False), F.lit("/"), quoted(name))
+
+
+def url_with(url: str, parameters: dict[str, str | int] | None = None) -> str:
+    """An address with query parameters, after those it has."""
+    return f"{url}{'&' if '?' in url else '?'}{urlencode(parameters)}" if parameters else url
+
+
+def is_artifact(name: Column, format_: Column) -> Column:
+    """Whether a file was made by the crawl target: by its format, name or suffix."""
+    base = F.lower(F.regexp_extract(F.regexp_replace(name, "/+$", ""), r"([^/]*)$", 1))
+    by_name = base.isin(list(ARTIFACT_NAMES))
+    for s in ARTIFACT_SUFFIXES:
+        by_name = by_name | base.endswith(s)
+    return F.coalesce(format_ == "Metadata", F.lit(False)) | F.coalesce(by_name, F.lit(False))
+
+
+def key_values(items: list[str]) -> dict[str, str]:
+    """KEY=VALUE texts as a dictionary; the last value of a key counts."""
+    out = {}
+    for item in items:
+        key, sign, value = item.partition("=")
+        if not sign:
+            raise ValueError(f"Metadata must be KEY=VALUE: {item}")
+        if not key.strip():
+            raise ValueError(f"Metadata key cannot be empty: {item}")
+        out[key.strip()] = value
+    return out
+
+
+# -- collections -------------------------------------------------------------------
+
+#: Fixed value: how a search for a collection begins.
+COLLECTION = "collection:"
+
+
+def collection_query(identifier: Column) -> Column:
+    return F.concat(F.lit(COLLECTION), strip(identifier))
+
+
+def collection_of(query: Column) -> Column:
+    """The collection a search is for; null if it is for something else."""
+    q = strip(query)
+    name = F.btrim(strip(F.substring(q, len(COLLECTION) + 1, 1 << 30)), F.lit('"'))
+    return F.when(F.lower(q).startswith(COLLECTION) & (name != "") & ~name.rlike(r"[\s\x{85}\p{Z}]"), name)
+
+
+def collection_key(identifier: Column) -> Column:
+    """The key under which a collection's crawl is kept, whatever search began it."""
+    return F.concat(F.lit("collection::"), strip(identifier))
+
+
 # -- metadata and JSON -----------------------------------------------------------
 
 ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("metadata_type", "name", "value", "notes")])
@@ -208,6 +269,17 @@ def json_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
+def ascii_json(c: Column) -> Column:
+    """JSON text with all characters beyond ASCII as \\uXXXX of their UTF-16 units."""
+    units = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), _utf16)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.array_join(units, ""))
+
+
+def _utf16(ch: Column) -> Column:
+    raw = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+    return F.when(F.octet_length(ch) == 1, ch).when(F.length(raw) == 4, F.concat(F.lit("\\u"), raw)).otherwise(F.concat(F.lit("\\u"), F.substring(raw, 1, 4), F.lit("\\u"), F.substring(raw, 5, 4)))
+
+
 def utc_timestamp(c: Column) -> Column:
     """A time with or without an offset; without one it is taken as UTC."""
     return strip(c).try_cast("timestamp")
@@ -220,7 +292,12 @@ RECORD_PREFIX = "org.archive-"
 def record_rows(df: DataFrame, json_column: str, skip: list[str], *keep: str) -> DataFrame:
     """(keep..., metadata_type, name, value) for each field of a JSON record that
     is not skipped: a list of scalars gives a row an element, objects and other
-    lists stay JSON, numbers stay numbers."""
+    lists stay JSON with sorted keys and ASCII only, numbers stay numbers.
+
+    A kept column must have another name than those made here.
+    """
+    if clash := {"metadata_type", "name", "value", "key", "v", "field"} & set(keep):
+        raise ValueError(f"kept columns may not be called {', '.join(sorted(clash))}")
     v = F.try_parse_json(F.col(json_column))
     obj = F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
     base = df.select(*keep, obj.alias("v")).where("v is not null")
@@ -231,5 +308,5 @@ def record_rows(df: DataFrame, json_column: str, skip: list[str], *keep: str) ->
     rows = fields.select(*keep, "key", F.explode(items).alias("x"))
     k = F.schema_of_variant("x")
     metadata_type = F.when(k == "STRING", "text").when(k.isin("BIGINT", "DOUBLE") | k.startswith("DECIMAL"), "number").otherwise("json")
-    value = F.when(k == "STRING", F.try_variant_get("x", "$", "string")).otherwise(F.to_json("x"))
+    value = F.when(k == "STRING", F.try_variant_get("x", "$", "string")).when(metadata_type == "json", ascii_json(F.to_json("x"))).otherwise(F.to_json("x"))
     return rows.select(*keep, metadata_type.alias("metadata_type"), F.concat(F.lit(RECORD_PREFIX), "key").alias("name"), value.alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import HEX_LENGTHS, clean_hash, is_hex
-from idloom.functions.scalars import ALGORITHMS, contains, optional_size, optional_text
+from idloom.functions.scalars import ALGORITHMS, ascii_json, contains, optional_size, optional_text
 from idloom.operators.identity import append_missing
 from idloom.operators.joins import lookup
 from idloom.operators.search import PAGE_MOST, hash_rows
@@ -20,18 +20,7 @@ def fingerprint() -> Column:
     beyond ASCII escaped as surrogate pairs, so equal alerts have equal ones."""
     hashes = F.struct(*[F.col(a) for a in sorted(ALGORITHMS)]).alias("hashes")
     body = F.struct(*[hashes if n == "hashes" else F.col(n) for n in sorted(("name", "description", "size_bytes", "hashes", "source_type", "source_name", "source_detail"))])
-    return F.sha2(_escaped(F.to_json(body, {"ignoreNullFields": "false"})), 256)
-
-
-def _escaped(c: Column) -> Column:
-    """Characters beyond ASCII (and DEL stays) as \\uXXXX of their UTF-16 units."""
-    units = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), _unit)
-    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.array_join(units, ""))
-
-
-def _unit(ch: Column) -> Column:
-    raw = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-    return F.when(F.octet_length(ch) == 1, ch).when(F.length(raw) == 4, F.concat(F.lit("\\u"), raw)).otherwise(F.concat(F.lit("\\u"), F.substring(raw, 1, 4), F.lit("\\u"), F.substring(raw, 5, 4)))
+    return F.sha2(ascii_json(F.to_json(body, {"ignoreNullFields": "false"})), 256)
 
 
 def normalized(alerts: DataFrame) -> DataFrame:

@@ -20,6 +20,18 @@ def files_by_hash(files: DataFrame, algorithm: str, value: str, size: int | None
     return (hit if size is None else hit.where(F.col("size_bytes") == size)).orderBy(F.col("id").desc())
 
 
+def newest_by_hash(files: DataFrame, algorithm: str, value: str, size: int | None = None) -> DataFrame:
+    """The newest file with a hash, or none."""
+    return files_by_hash(files, algorithm, value, size).limit(1)
+
+
+def count_by_hash(queries: DataFrame, files: DataFrame, algorithm: str) -> DataFrame:
+    """Queries with a hash that files have: how many, and the newest of them."""
+    name = algorithm_name(algorithm)
+    known = files.groupBy(name).agg(F.count(F.lit(1)).alias("n_files"), F.max("id").alias("newest_id"))
+    return lookup(queries, known, [name], "inner")
+
+
 def hash_rows(df: DataFrame, *keep: Column) -> DataFrame:
     """One row for each hash that is given: keep..., algorithm, value."""
     have = [a for a in ALGORITHMS if a in df.columns]

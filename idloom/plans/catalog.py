@@ -54,7 +54,11 @@ def a3_text_hashes(spark, d):
     return docs.select("doc_id", F.octet_length("text").cast("long").alias("size_bytes"), *hashing.column_hashes(F.col("text"), ("md5", "sha1", "sha256")))
 
 
-@query()
+_BYTES = "list_transform(range(octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), 2 * i + 1, 2) AS BIGINT))"
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i))"
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS tab), b AS (SELECT doc_id, {_BYTES} AS bytes FROM documents) SELECT doc_id, printf('%08x', xor(list_reduce(bytes, lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]), 4294967295), 4294967295)) AS crc32 FROM b, t")
 def a3_text_crc32(spark, d):
     return table(spark, d, "documents").select("doc_id", *hashing.column_hashes(F.col("text"), ("crc32",)))
 
@@ -103,12 +107,24 @@ def a10_zipped_documents(spark, d):
     return archives.archive_members(packed).select("path", "size_bytes", "md5", "sha1")
 
 
-@query()
+_RECORD = "r AS (SELECT identifier, try_cast(metadata_json AS JSON) AS j FROM ia_ingest_item)"
+_TRUE_NAME = "CASE json_type(f, '$.name') WHEN 'VARCHAR' THEN f ->> '$.name' <> '' WHEN 'NULL' THEN false ELSE f ->> '$.name' NOT IN ('0', '0.0', 'false') END"
+
+
+@query(
+    f"""WITH {_RECORD}, e AS (SELECT identifier, unnest(json_extract(j, '$.files[*]')) AS f FROM r WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.files') = 'ARRAY')
+ SELECT identifier, f ->> '$.name' AS name, nullif(f ->> '$.source', '') AS source, nullif(f ->> '$.format', '') AS format, try_cast(trim(f ->> '$.size') AS BIGINT) AS size_bytes, """
+    + ", ".join(f"nullif(lower(trim(f ->> '$.{h}', {_WS})), '') AS {h}" for h in ("md5", "sha1", "crc32"))
+    + f", try_cast(trim(f ->> '$.mtime') AS BIGINT) AS mtime FROM e WHERE json_type(f) = 'OBJECT' AND {_TRUE_NAME}"
+)
 def a20_item_files(spark, d):
-    return crawl_source.item_files(table(spark, d, "ia_ingest_item"))
+    return crawl_source.item_files(table(spark, d, "ia_ingest_item")).drop("raw")
 
 
-@query()
+@query(
+    f"""WITH {_RECORD}, c AS (SELECT identifier, j -> '$.metadata.collection' AS c FROM r WHERE json_type(j) = 'OBJECT')
+ SELECT DISTINCT identifier, x ->> '$' AS collection FROM (SELECT identifier, unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') ELSE [c] END) AS x, json_type(c) AS t FROM c) WHERE x ->> '$' IS NOT NULL AND (t <> 'ARRAY' OR x ->> '$' NOT IN ('', '0', 'false'))"""
+)
 def a20_collections(spark, d):
     return crawl_source.collections(table(spark, d, "ia_ingest_item")).distinct()
 
@@ -116,13 +132,30 @@ def a20_collections(spark, d):
 # -- B, C, D, F: lookups, joins, aggregates, pages ----------------------------------
 
 
+_TOP_MD5 = "(SELECT md5 FROM ufid_file GROUP BY md5 ORDER BY count(*) DESC, md5 LIMIT 1)"
+
+
+def _top_md5(spark: SparkSession, d: str) -> str:
+    n = F.count(F.lit(1))
+    return table(spark, d, "ufid_file").groupBy("md5").agg(n.alias("n")).orderBy(F.col("n").desc(), "md5").first()[0]
+
+
+@query(f"SELECT id, size_bytes, md5 FROM ufid_file WHERE md5 = {_TOP_MD5}")
+def b1_files_by_hash(spark, d):
+    """The files of the md5 that most files have."""
+    return search.files_by_hash(table(spark, d, "ufid_file"), "MD5", _top_md5(spark, d).upper()).select("id", "size_bytes", "md5")
+
+
+@query(f"SELECT max(id) AS id FROM ufid_file WHERE md5 = {_TOP_MD5}")
+def b2_newest_by_hash(spark, d):
+    return search.newest_by_hash(table(spark, d, "ufid_file"), "md5", _top_md5(spark, d)).select("id")
+
+
 @query(f"WITH {_OBS} SELECT o.obs_id, count(f.id) AS n_files, max(f.id) AS newest_id FROM o JOIN ufid_file f ON f.sha1 = o.sha1 GROUP BY o.obs_id")
-def b1_files_by_sha1(spark, d):
+def b1_observed_sha1(spark, d):
     """For each observation all files with its sha1: how many, and the newest."""
-    files = table(spark, d, "ufid_file").groupBy("sha1").agg(F.count(F.lit(1)).alias("n_files"), F.max("id").alias("newest_id"))
-    from idloom.operators.joins import lookup
-
-    return lookup(_observed(spark, d).select(F.col("seq").alias("obs_id"), "sha1"), files, ["sha1"], "inner").select("obs_id", "n_files", "newest_id")
+    obs = identity.cleaned(table(spark, d, "file_observation")).select(F.col("seq").alias("obs_id"), "sha1")
+    return search.count_by_hash(obs, table(spark, d, "ufid_file"), "sha1").select("obs_id", "n_files", "newest_id")
 
 
 @query(
@@ -454,12 +487,37 @@ def i25_quoted_names(spark, d):
     return table(spark, d, "ia_ingest_file").where("name is not null").select("item_identifier", "name", scalars.quoted(F.col("name")).alias("quoted")).distinct()
 
 
-@query()
+_SKIP = ["name", "source", "format", "size", "md5", "sha1", "crc32", "mtime"]
+
+
+def _ascii_sql(x: str) -> str:
+    unit = "CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c)) ELSE printf('\\u%04x\\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END"
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: {unit}), '')"
+
+
+@query(
+    f"""WITH o AS (SELECT item_identifier, name AS file_name, try_cast(metadata_json AS JSON) AS j FROM ia_ingest_file), f AS (SELECT item_identifier, file_name, e.key, e.value AS v FROM o, json_each(o.j) e WHERE json_type(j) = 'OBJECT' AND e.key NOT IN ({', '.join(f"'{x}'" for x in _SKIP)})),
+ x AS (SELECT item_identifier, file_name, key, unnest(CASE WHEN json_type(v) = 'ARRAY' AND v::VARCHAR <> '[]' AND len(list_filter(json_extract(v, '$[*]'), lambda y: json_type(y) IN ('OBJECT', 'ARRAY'))) = 0 THEN json_extract(v, '$[*]') ELSE [v] END) AS x FROM f),
+ t AS (SELECT *, CASE json_type(x) WHEN 'VARCHAR' THEN 'text' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' ELSE 'json' END AS metadata_type FROM x)
+ SELECT item_identifier, file_name, metadata_type, '{scalars.RECORD_PREFIX}' || key AS name, CASE metadata_type WHEN 'text' THEN x ->> '$' WHEN 'number' THEN x::VARCHAR ELSE array_to_string(list_sort(string_split({_ascii_sql('x::VARCHAR')}, '')), '') END AS value FROM t"""
+)
 def i21_record_rows(spark, d):
-    return scalars.record_rows(table(spark, d, "ia_ingest_file").where("metadata_json is not null"), "metadata_json", ["name", "source", "format", "size", "md5", "sha1", "crc32", "mtime"], "item_identifier", "name")
+    """JSON values by their sorted letters, as SQL does not sort keys."""
+    records = table(spark, d, "ia_ingest_file").where("metadata_json is not null").withColumnRenamed("name", "file_name")
+    rows = scalars.record_rows(records, "metadata_json", _SKIP, "item_identifier", "file_name")
+    letters = F.array_join(F.array_sort(F.filter(F.split("value", ""), lambda x: x != "")), "")
+    return rows.withColumn("value", F.when(F.col("metadata_type") == "json", letters).otherwise(F.col("value")))
+
 
+_FINGERPRINT = "'{\"description\":' || to_json(description)::VARCHAR || ',\"hashes\":{\"blake3\":null,\"crc32\":' || coalesce(to_json(crc32)::VARCHAR, 'null') || ',\"md5\":' || coalesce(to_json(md5)::VARCHAR, 'null') || ',\"sha1\":' || coalesce(to_json(sha1)::VARCHAR, 'null') || ',\"sha256\":null},\"name\":' || to_json(name)::VARCHAR || ',\"size_bytes\":' || coalesce(size_bytes::VARCHAR, 'null') || ',\"source_detail\":null,\"source_name\":null,\"source_type\":null}'"
 
-@query()
+
+@query(
+    f"""WITH {_OBS}, w AS (SELECT obs_id, nullif(trim(display_name, {_WS}), '') AS name, nullif(trim(source, {_WS}), '') AS description, CASE WHEN size_bytes >= 0 THEN size_bytes END AS size_bytes, crc32, md5, sha1 FROM o),
+ v AS (SELECT *, CASE WHEN coalesce(crc32, md5, sha1) IS NULL THEN 'at least one supported hash is required' """
+    + " ".join(f"WHEN NOT regexp_full_match({a}, '[0-9a-f]{{{n}}}') THEN '{a} must be exactly {n} hexadecimal characters'" for a, n in (("crc32", 8), ("md5", 32), ("sha1", 40)))
+    + f" WHEN name IS NULL THEN 'name is required' WHEN description IS NULL THEN 'description is required' END AS error FROM w) SELECT obs_id, CASE WHEN error IS NULL THEN sha256({_ascii_sql(_FINGERPRINT)}) END AS fingerprint, error FROM v"
+)
 def i8_fingerprints(spark, d):
     a = al.normalized(table(spark, d, "file_observation").select("obs_id", F.col("display_name").alias("name"), F.col("source").alias("description"), "size_bytes", "crc32", "md5", "sha1"))
     return a.select("obs_id", "fingerprint", "error")
@@ -468,16 +526,40 @@ def i8_fingerprints(spark, d):
 # -- J: crawl state --------------------------------------------------------------------
 
 
-@query("SELECT identifier, epoch_us(min(first_seen_at)) AS first_seen_us, epoch_us(max(updated_at)) AS updated_us, count(*) AS n FROM ia_ingest_item GROUP BY identifier")
+#: Rows before are taken as the state, the others as what a later crawl saw.
+_THEN = "2024-02-01 00:00:00"
+
+
+def _then_and_now(spark: SparkSession, d: str, name: str, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, name)
+    late = F.col("updated_at") >= F.lit(_THEN).cast("timestamp")
+    return crawl.latest(rows.where(~late), key), rows.where(late)
+
+
+def _micros(*names: str) -> list:
+    return [F.unix_micros(n).alias(n.replace("_at", "_us")) for n in names]
+
+
+@query(
+    """WITH w AS (SELECT *, updated_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00' AS late FROM ia_ingest_item), s AS (SELECT * EXCLUDE (first_seen_at), min(first_seen_at) OVER (PARTITION BY identifier, late) AS first_seen_at, row_number() OVER (PARTITION BY identifier, late ORDER BY updated_at DESC) AS r FROM w),
+ old AS (SELECT * FROM s WHERE NOT late AND r = 1), new AS (SELECT * FROM s WHERE late AND r = 1)
+ SELECT coalesce(old.identifier, new.identifier) AS identifier, coalesce(new.query, old.query) AS query, coalesce(new.title, old.title) AS title, coalesce(new.mediatype, old.mediatype) AS mediatype, coalesce(old.status, 'discovered') AS status, coalesce(old.attempts, 0) AS attempts, old.error, epoch_us(coalesce(old.first_seen_at, new.first_seen_at)) AS first_seen_us, epoch_us(coalesce(new.updated_at, old.updated_at)) AS updated_us FROM old FULL JOIN new ON old.identifier = new.identifier"""
+)
 def j2_latest_items(spark, d):
-    rows = table(spark, d, "ia_ingest_item")
-    n = rows.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"))
-    return crawl.latest(rows, ["identifier"]).select("identifier", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("updated_at").alias("updated_us")).join(n, "identifier")
+    """Late rows merged as discoveries into the items known before."""
+    merged = crawl.merge_items(*_then_and_now(spark, d, "ia_ingest_item", ["identifier"]))
+    return merged.select("identifier", "query", "title", "mediatype", "status", "attempts", "error", *_micros("first_seen_at", "updated_at"))
 
 
-@query("SELECT item_identifier, name, epoch_us(min(first_seen_at)) AS first_seen_us, epoch_us(max(updated_at)) AS updated_us, arg_max(ufid_file_id, (updated_at, ufid_file_id)) FILTER (ufid_file_id IS NOT NULL) AS ufid_file_id FROM ia_ingest_file GROUP BY item_identifier, name")
+@query(
+    """WITH w AS (SELECT *, updated_at >= TIMESTAMPTZ '2024-02-01 00:00:00+00' AS late FROM ia_ingest_file), s AS (SELECT * EXCLUDE (first_seen_at, ufid_file_id), min(first_seen_at) OVER p AS first_seen_at, arg_max(ufid_file_id, (updated_at, ufid_file_id)) FILTER (ufid_file_id IS NOT NULL) OVER p AS ufid_file_id, row_number() OVER (PARTITION BY item_identifier, name, late ORDER BY updated_at DESC) AS r FROM w WINDOW p AS (PARTITION BY item_identifier, name, late)),
+ old AS (SELECT * FROM s WHERE NOT late AND r = 1), new AS (SELECT * FROM s WHERE late AND r = 1)
+ SELECT coalesce(old.item_identifier, new.item_identifier) AS item_identifier, coalesce(old.name, new.name) AS name, CASE WHEN new.updated_at IS NULL THEN old.size_bytes ELSE new.size_bytes END AS size_bytes, coalesce(old.status, 'pending') AS status, coalesce(old.attempts, 0) AS attempts, coalesce(new.ufid_file_id, old.ufid_file_id) AS ufid_file_id, epoch_us(coalesce(old.first_seen_at, new.first_seen_at)) AS first_seen_us, epoch_us(coalesce(new.updated_at, old.updated_at)) AS updated_us FROM old FULL JOIN new ON old.item_identifier = new.item_identifier AND old.name = new.name"""
+)
 def j3_latest_files(spark, d):
-    return crawl.latest(table(spark, d, "ia_ingest_file"), ["item_identifier", "name"]).select("item_identifier", "name", F.unix_micros("first_seen_at").alias("first_seen_us"), F.unix_micros("updated_at").alias("updated_us"), "ufid_file_id")
+    """Late rows merged into the queue as it was before."""
+    merged = crawl.merge_files(*_then_and_now(spark, d, "ia_ingest_file", ["item_identifier", "name"]))
+    return merged.select("item_identifier", "name", "size_bytes", "status", "attempts", "ufid_file_id", *_micros("first_seen_at", "updated_at"))
 
 
 @query("SELECT item_identifier, name, status, epoch_us(first_seen_at) AS first_seen_us, epoch_us(updated_at) AS updated_us FROM ia_ingest_file WHERE status IN ('pending', 'downloading', 'failed', 'skipped')")

@@ -134,6 +134,13 @@ SQL = {
  n AS (SELECT p AS node FROM e UNION SELECT c FROM e), w(node, depth, root) AS (SELECT node, 0, node FROM n WHERE node NOT IN (SELECT c FROM g) UNION SELECT g.c, depth + 1, root FROM w JOIN g ON w.node = g.p),
  b AS (SELECT node, min((depth, root)) AS m FROM w GROUP BY node)
 SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN node NOT IN (SELECT a FROM ring) THEN m[1] END AS depth, CASE WHEN node NOT IN (SELECT a FROM ring) THEN m[2] END AS root_file_id FROM b""",
+    "p1_hierarchy": _REACH
+    + """, ring AS MATERIALIZED (SELECT a FROM r WHERE a = b), pe AS MATERIALIZED (SELECT DISTINCT parent_file_id AS p, child_file_id AS c, coalesce(archive_path, '') AS path FROM ufid_archive_member WHERE parent_file_id IS NOT NULL AND child_file_id IS NOT NULL), g AS MATERIALIZED (SELECT * FROM pe WHERE c NOT IN (SELECT a FROM ring)),
+ n AS (SELECT p AS node FROM e UNION SELECT c FROM e), w(node, depth, root) AS (SELECT node, 0, node FROM n WHERE node NOT IN (SELECT c FROM g) UNION SELECT g.c, depth + 1, root FROM w JOIN g ON w.node = g.p),
+ b AS MATERIALIZED (SELECT node, min((depth, root)) AS m FROM w GROUP BY node),
+ s AS MATERIALIZED (SELECT g.c, g.p, min(path) AS path FROM g JOIN b x ON x.node = g.p JOIN b y ON y.node = g.c WHERE y.m[1] = x.m[1] + 1 AND y.m[2] = x.m[2] GROUP BY ALL),
+ f(node, full_path) AS (SELECT node, '' FROM b WHERE m[1] = 0 UNION SELECT s.c, CASE WHEN b.m[1] = 0 THEN s.path ELSE full_path || '!/' || s.path END FROM f JOIN s ON s.p = f.node JOIN b ON b.node = f.node)
+SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN node NOT IN (SELECT a FROM ring) THEN any_value(m[1]) END AS depth, CASE WHEN node NOT IN (SELECT a FROM ring) THEN any_value(m[2]) END AS root_file_id, CASE WHEN node NOT IN (SELECT a FROM ring) THEN min(full_path) END AS full_path FROM b JOIN f USING (node) GROUP BY node""",
     "p2_found": _SEEN + "SELECT obs_id FROM s WHERE seen",
     "p2_seen": _SEEN + "SELECT obs_id, seen FROM s",
     "p4_found": "WITH t AS (SELECT count(*) AS n FROM ufid_archive_member), "

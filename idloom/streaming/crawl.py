@@ -19,13 +19,14 @@ FILE_OPEN, FILE_RETRY = ("pending", "downloading"), ("failed", "skipped")
 
 
 def latest(rows: DataFrame, key: list[str], at: str = "updated_at") -> DataFrame:
-    """The last row of each key: by time, of equal times the greatest row text.
+    """The last row of each key: by time, of equal times the one with the greatest
+    hash of the row, so that every run takes the same.
 
     ``first_seen_at`` becomes the earliest and a null file id is filled by the
     latest known one, as a queue that sees its rows one by one would have it.
     """
     rest = [c for c in rows.columns if c not in key]
-    keep = F.max_by(F.struct(*rest), F.struct(F.col(at), F.to_json(F.struct(*rest))))
+    keep = F.max_by(F.struct(*rest), F.struct(F.col(at), F.xxhash64(*rest)))
     aggs = [keep.alias("r")]
     fixed = {}
     if "first_seen_at" in rest:

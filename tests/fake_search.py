@@ -1,3 +1,8 @@
 def search(query, cursor, count):
     n = int(cursor or 0)
     return {"items": [{"identifier": f"{query}{n}", "title": f"t{n}", "mediatype": "software"}, {"identifier": "same", "title": f"t{n}"}], "cursor": str(n + 1) if n < 2 else None}
+
+
+def record(identifier):
+    body = {"gone": "[]", "bad": '{"error": "no rights"}', "odd": "5"}.get(identifier, '{"metadata": {"identifier": "%s"}}' % identifier)
+    return 200, {}, body.encode()

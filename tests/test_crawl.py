@@ -64,3 +64,56 @@ def test_stream_of_discoveries_is_idempotent(spark, tmp_path):
     got = {r.identifier: (r.title, r.status) for r in crawl.read_state(spark, state).collect()}
     assert got == {"a": ("two", "discovered"), "b": (None, "discovered")}
     assert crawl.latest(spark.createDataFrame([], ITEM), ["identifier"]).collect() == [] and F is not None
+
+
+def test_item_files_of_odd_records(spark):
+    from idloom.sources import crawl_source as cs
+
+    rows = [("a", '{"files": [{"name": "x", "size": " 12 ", "md5": " AB "}, "text", null, 5, {"name": ""}, {"name": null}, {"name": 0}, {"name": 7, "size": "many"}, {"size": 1}, {"name": "  "}, [{"name": "no"}]]}'), ("b", '{"files": {"name": "x"}}'), ("c", "not json"), ("d", None), ("e", '["files"]'), ("f", "{}")]
+    df = spark.createDataFrame(rows, "identifier string, metadata_json string")
+    got = {(r.identifier, r.name, r.size_bytes, r.md5) for r in cs.item_files(df).collect()}
+    assert got == {("a", "x", 12, "ab"), ("a", "7", None, None), ("a", "  ", None, None)}
+    queued = {r.name: r for r in cs.queue_rows(cs.item_files(df), F.lit(T[0])).collect()}
+    assert queued["x"].url.endswith("/download/a/x") and queued["x"].identity_metadata_missing == '["crc32","md5","sha1"]' and queued["x"].needs_downloaded_identity == 1
+    kinds = spark.createDataFrame([("a", '{"metadata": {"collection": "one"}}'), ("b", '{"metadata": {"collection": ["x", "", null, 3]}}'), ("c", '{"metadata": {"collection": null}}'), ("d", '{"metadata": 5}'), ("e", None)], df.schema)
+    assert {tuple(r) for r in cs.collections(kinds).collect()} == {("a", "one"), ("b", "x"), ("b", "3")}
+
+
+def test_requests_wait_and_are_tried_again():
+    from idloom.sources import crawl_source as cs
+
+    clock, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        clock[0] += s
+
+    answers = iter([(503, {"Retry-After": "7"}, b""), OSError("broken"), (429, {}, b""), (200, {}, b"ok")])
+
+    def call():
+        a = next(answers)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert cs.fetch(call, sleep=sleep, gate=cs.Gate(0.5, lambda: clock[0], sleep)) == b"ok"
+    assert slept == [7.0, 2.0, 4.0]
+    for bad in ([(404, {}, b"")], [(503, {}, b"")] * 2):
+        it = iter(bad)
+        try:
+            cs.fetch(lambda: next(it), retries=1, sleep=lambda s: None)
+            raise AssertionError("no error")
+        except OSError:
+            pass
+    assert cs.retry_after_seconds("Thu, 01 Jan 1970 00:01:00 GMT", now=lambda: 20.0) == 40.0
+    assert cs.retry_after_seconds("soon") is None and cs.retry_after_seconds(None) is None
+
+
+def test_records_are_fetched_or_say_why_not(spark):
+    from idloom.sources import crawl_source as cs
+
+    ids = spark.createDataFrame([("a",), ("gone",), ("bad",), ("odd",), (None,)], "identifier string")
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "fake_search.py"))
+    got = {r.identifier: (r.metadata_json, r.error) for r in cs.fetched_records(ids, "fake_search:record", least_wait=0).collect()}
+    assert got["a"] == ('{"metadata": {"identifier": "a"}}', None)
+    assert got["gone"] == (None, "item not found: gone") and got["bad"] == (None, "no rights") and got["odd"][1].startswith("unexpected")
