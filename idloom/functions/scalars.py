@@ -142,6 +142,27 @@ def is_builtin_archive(name: Column) -> Column:
     return archive_suffix(name).isin(CONTAINER_SUFFIXES + SINGLE_SUFFIXES)
 
 
+#: Containers that are looked into by outer tools only, by suffix or by words of their format.
+OUTER_SUFFIXES = (".iso", ".isz", ".7z", ".rar", ".cab", ".dmg", ".img", ".chd", ".vhd", ".vhdx", ".hfs")
+OUTER_FORMATS = ("iso", "7z", "rar", "disk image", "cd-rom", "cd image")
+
+
+def is_outer_container(name: Column, format_: Column) -> Column:
+    """A container the built-in readers do not open, by its suffix or format."""
+    low, kind = F.lower(name), F.lower(F.coalesce(format_, F.lit("")))
+    out = F.lit(False)
+    for s in OUTER_SUFFIXES:
+        out = out | low.endswith(s)
+    for w in OUTER_FORMATS:
+        out = out | kind.contains(w)
+    return out & ~is_archive_name(low)
+
+
+def wants_scan(name: Column, format_: Column) -> Column:
+    """A file whose members are looked for: an archive of several files, or a container for outer tools."""
+    return F.coalesce((is_archive_name(name) & ~is_single_compressed(name)) | is_outer_container(name, format_), F.lit(False))
+
+
 def is_single_compressed(name: Column) -> Column:
     return archive_suffix(name).isin(SINGLE_SUFFIXES)
 
@@ -166,11 +187,15 @@ def quoted(c: Column, keep_slash: bool = True) -> Column:
     return q
 
 
+#: Fixed value: names that some file systems keep for devices.
+RESERVED = ("con", "prn", "aux", "nul", *(f"{d}{i}" for d in ("com", "lpt") for i in range(1, 10)))
+
+
 def safe_component(c: Column) -> Column:
-    """One path component that no file system takes for something else."""
-    v = F.regexp_replace(c, r'[\x00-\x1f<>:"/\\|?*]', "_")
-    v = F.regexp_replace(v, r"[ .]+$", "")
-    return F.when(v.isin("", ".", ".."), "_").otherwise(v)
+    """One path component that no file system takes for something else, 180 characters at most."""
+    v = F.btrim(F.regexp_replace(c, r'[\x00-\x1f<>:"|?*]', "_"), F.lit(" ."))
+    v = F.when(v == "", "_").when(F.lower(v).isin(list(RESERVED)), F.concat(F.lit("_"), v)).otherwise(v)
+    return F.substring(v, 1, 180)
 
 
 def safe_path(identifier: Column, name: Column) -> Column:

@@ -9,6 +9,7 @@ from idloom.functions.hashes import HEX_LENGTHS, clean_hash, is_hex
 from idloom.functions.scalars import ALGORITHMS, ascii_json, contains, optional_size, optional_text
 from idloom.operators.identity import append_missing
 from idloom.operators.joins import lookup
+from idloom.operators.provenance import source_label
 from idloom.operators.search import PAGE_MOST, hash_rows
 from idloom.session import Scratch
 
@@ -130,7 +131,7 @@ def file_source_hits(stored: DataFrame, members: DataFrame, meta: DataFrame) ->
 
 def file_sources(stored: DataFrame, members: DataFrame, meta: DataFrame, user_id: int) -> DataFrame:
     """All known source values with a user's hits, 0 where there are none."""
-    from idloom.operators.provenance import source_label, source_rows
+    from idloom.operators.provenance import source_rows
 
     catalog = source_rows(meta).select("source_value").distinct()
     hits = file_source_hits(stored.where(F.col("user_id") == user_id), members, meta)
@@ -140,11 +141,54 @@ def file_sources(stored: DataFrame, members: DataFrame, meta: DataFrame, user_id
 
 def list_alerts(alerts: DataFrame, links: DataFrame, user_id: int, query: str | None = None, limit: int = PAGE_MOST, offset: int = 0) -> DataFrame:
     """One page of a user's alerts, the latest linked first."""
-    mine = links.where(F.col("user_id") == user_id).withColumnRenamed("alert_id", "id").join(alerts, "id")
-    if query:
-        mine = mine.where(contains(query, F.col("id"), *map(F.col, FIELDS)))
     order = [F.col("created_at").desc()] if "created_at" in links.columns else []
-    return mine.orderBy(*order, F.col("id").desc()).offset(max(offset, 0)).limit(min(max(limit, 1), PAGE_MOST))
+    return _mine(alerts, links, user_id, query).orderBy(*order, F.col("id").desc()).offset(max(offset, 0)).limit(min(max(limit, 1), PAGE_MOST))
+
+
+def _mine(alerts: DataFrame, links: DataFrame, user_id: int, query: str | None) -> DataFrame:
+    mine = links.where(F.col("user_id") == user_id).withColumnRenamed("alert_id", "id").join(alerts, "id")
+    return mine.where(contains(query, F.col("id"), *map(F.col, FIELDS))) if query else mine
+
+
+def count_alerts(alerts: DataFrame, links: DataFrame, user_id: int, query: str | None = None) -> DataFrame:
+    """How many alerts of a user a query finds (``n``)."""
+    return _mine(alerts, links, user_id, query).agg(F.count(F.lit(1)).alias("n"))
+
+
+def alert_records(alerts: DataFrame) -> DataFrame:
+    """Alerts as they are shown: with a map of all hashes, without the fingerprint."""
+    hashes = F.create_map(*[x for h in ALGORITHMS for x in (F.lit(h), F.col(h))]).alias("hashes")
+    return alerts.select(*[c for c in alerts.columns if c != "fingerprint"], hashes)
+
+
+def ordered_sources(sources: DataFrame) -> DataFrame:
+    """Alert sources in their order: what was put in by hand first, then by label and key."""
+    return sources.orderBy(F.when(F.col("source_key") == "manual", 0).otherwise(1), F.lower("label"), "source_key")
+
+
+def given_values(values: list[str] | None) -> list[str]:
+    """Values trimmed, without blanks and repeats, in the order given."""
+    return list(dict.fromkeys(t for v in values or () if (t := str(v).strip())))
+
+
+def match_page(rows: DataFrame, limit: int = PAGE_MOST, offset: int = 0) -> DataFrame:
+    """One page of matches (``match_rows``), the latest found first."""
+    order = [F.col(c).desc() for c in ("found_at", "alert_id", "file_id")]
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), PAGE_MOST))
+
+
+def match_records(rows: DataFrame) -> DataFrame:
+    """Matches as nested records: alert, file (with its source, null without one, and
+    its crawled record, null without identifier and address), matched_algorithms,
+    size_matched and found_at."""
+    hashes = lambda p: F.create_map(*[x for h in ALGORITHMS for x in (F.lit(h), F.col(f"{p}_{h}"))]).alias("hashes")
+    created = F.col("alert_created_at") if "alert_created_at" in rows.columns else F.lit(None).cast("timestamp")
+    alert = F.struct(F.col("alert_id").alias("id"), *[F.col(f"alert_{c}").alias(c) for c in ("name", "description", "size_bytes")], hashes("alert"), *[F.col(f"alert_{c}").alias(c) for c in ("source_type", "source_name", "source_detail")], created.alias("created_at"))
+    source = F.when(F.col("source_value") != "", F.struct("source_file_id", "source_value", source_label(F.col("source_value")).alias("label"), source_label(F.col("source_value")).alias("description"), "external_reference"))
+    known = F.coalesce(F.nullif("ia_identifier", F.lit("")), F.nullif("ia_item_url", F.lit(""))).isNotNull()
+    record = F.when(known, F.struct(F.col("record_file_id").alias("source_file_id"), F.col("ia_identifier").alias("identifier"), F.col("ia_item_url").alias("item_url"), *[F.col(f"ia_{c}").alias(c) for c in ("file_url", "file_name", "file_source", "file_format")]))
+    file = F.struct(F.col("file_id").alias("id"), F.col("file_size_bytes").alias("size_bytes"), "display_name", "content_type", hashes("file"), source.alias("source"), record.alias("record"))
+    return rows.select(alert.alias("alert"), file.alias("file"), "matched_algorithms", (F.col("size_matched") == 1).alias("size_matched"), "found_at")
 
 
 def match_rows(stored: DataFrame, alerts: DataFrame, files: DataFrame, meta: DataFrame, members: DataFrame, query: str | None = None, source_keys: list[str] | None = None, sources: list[str] | None = None, with_sources: bool = True) -> DataFrame:
@@ -161,13 +205,13 @@ def match_rows(stored: DataFrame, alerts: DataFrame, files: DataFrame, meta: Dat
     rows = stored.join(a, "alert_id").join(f, "file_id")
     if query:
         hit = meta.where(contains(query, *map(F.col, ("name", "value", "notes")))).select("file_id").distinct().withColumn("meta_hit", F.lit(True))
-        text = contains(query, *[F.col(c) for c in rows.columns if c.startswith(("alert_", "file_"))])
+        text = contains(query, F.col("alert_id"), F.col("file_id"), *[F.col(f"alert_{c}") for c in FIELDS], F.col("file_size_bytes"), *[F.col(f"file_{h}") for h in ALGORITHMS])
         rows = rows.join(hit, "file_id", "left").where(text | F.coalesce("meta_hit", F.lit(False))).drop("meta_hit")
-    if source_keys:
-        rows = rows.where(F.col("source_key").isin(list(dict.fromkeys(k.strip() for k in source_keys if k.strip()))))
+    if given_values(source_keys):
+        rows = rows.where(F.col("source_key").isin(given_values(source_keys)))
     ids = stored.select(F.col("file_id").alias("id")).distinct()
-    if sources:
-        named = source_rows(meta).where(F.col("source_value").isin(list(dict.fromkeys(s.strip() for s in sources if s.strip())))).select(F.col("file_id").alias("ancestor_id")).distinct()
+    if given_values(sources):
+        named = source_rows(meta).where(F.col("source_value").isin(given_values(sources))).select(F.col("file_id").alias("ancestor_id")).distinct()
         rows = rows.join(ancestors(ids, members).join(named, "ancestor_id", "left_semi").select("file_id").distinct(), "file_id", "left_semi")
     rows = rows.withColumn("matched_algorithms", matched_list())
     if with_sources:

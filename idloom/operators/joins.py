@@ -5,26 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from idloom.session import Scratch, count_rows
+from idloom.session import Scratch
 
 #: A key is hot from this share of the rows on, so there are at most 64 of them.
 HOT_SHARE = 1 / 64
+#: Keys a sketch tracks: enough to be sure of all that hold ``HOT_SHARE``.
+TRACKED = 4096
 
 
-def lookup(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of keys that hold more than ``HOT_SHARE`` of the rows, and 1,000 at least.
+
+    One pass with a sketch of fixed size a task; nothing is shuffled but the
+    sketches.  It tracks so many keys that none of these can be missed; a key
+    that is named in vain costs no right result.
+    """
+    got = df.select(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {int(1 / HOT_SHARE)}, {TRACKED})").alias("top")).first()
+    return [r["item"] for r in got["top"] or [] if r["count"] > max(1000, got["n"] * HOT_SHARE)]
+
+
+def lookup(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left", hot: list[int] | None = None) -> DataFrame:
     """``big`` joined with a table that has at most one row a key.
 
-    Rows of hot keys stay where they are: the at most 64 matching rows of the
-    other side are broadcast to them. All other rows are joined by shuffle.
+    Rows of hot keys (``hot_hashes``, taken from ``big`` unless given) stay where
+    they are: the at most 64 matching rows of the other side are broadcast to
+    them. All other rows are joined by shuffle. A null key matches nothing.
     """
-    total = count_rows(big)
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(1000.0, total * HOT_SHARE)).drop("_n")
-    if not hot.limit(1).count():
+    hot = hot_hashes(big, keys) if hot is None else hot
+    if not hot:
         return big.join(unique, keys, how)
-    marks = F.broadcast(hot.dropna(subset=keys).withColumn("_hot", F.lit(True)))
-    marked = big.join(marks, keys, "left")
-    warm = marked.where("_hot").drop("_hot").join(F.broadcast(unique.join(marks.drop("_hot"), keys, "left_semi")), keys, how)
-    return warm.unionByName(marked.where("_hot is null").drop("_hot").join(unique, keys, how))
+    kinds = dict(big.dtypes)
+    is_hot = F.xxhash64(*[F.col(k).cast(kinds[k]) for k in keys]).isin(hot)
+    warm = big.where(is_hot).join(F.broadcast(unique.where(is_hot)), keys, how)
+    return warm.unionByName(big.where(~is_hot).join(unique, keys, how))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:

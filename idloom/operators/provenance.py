@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import strip
+from idloom.operators.identity import append_missing
 from idloom.operators.search import first_values
 from idloom.session import Scratch, count_rows
 
@@ -135,3 +137,40 @@ def source_entries(meta: DataFrame) -> DataFrame:
     for s, ns in SOURCE_REFERENCES.items():
         ref = F.when(F.col("source_value") == s, F.coalesce(*ns)).otherwise(ref)
     return own.join(refs, "file_id", "left").select("file_id", "source_value", source_label(F.col("source_value")).alias("label"), F.coalesce(ref, F.lit("")).alias("external_reference"))
+
+
+@dataclass
+class Sources:
+    """Sources by name with a description, and which file has which, with a reference."""
+
+    sources: DataFrame
+    file_sources: DataFrame
+
+
+def add_sources(stored: Sources, meta: DataFrame) -> Sources:
+    """The sources that metadata rows name, added to the stored ones.
+
+    A source is stored once by its name; a missing description is filled in. A
+    file, source and reference are stored once.
+    """
+    entries = source_entries(meta)
+    named = entries.groupBy(F.col("source_value").alias("name")).agg(F.min("label").alias("label"))
+    known = stored.sources.join(named, "name", "left").select("id", "name", F.coalesce("description", "label").alias("description"))
+    fresh = append_missing(stored.sources, named.select("name", F.col("label").alias("description")), ["name"])
+    sources = known.unionByName(fresh.select("id", "name", "description"))
+    links = entries.join(sources.select(F.col("name").alias("source_value"), F.col("id").alias("source_id")), "source_value").select("file_id", "source_id", "external_reference")
+    key = ["file_id", "source_id", "external_reference"]
+    return Sources(sources, stored.file_sources.select(*key).unionByName(links.join(stored.file_sources, key, "left_anti").distinct()))
+
+
+def source_catalog(sources: DataFrame, meta: DataFrame) -> DataFrame:
+    """All different source values: stored ones and those in metadata."""
+    own = meta.where("name = 'source'").select(strip(F.col("value")).alias("source_value"))
+    return sources.select(strip(F.col("name")).alias("source_value")).unionByName(own).where("source_value <> ''").distinct()
+
+
+def resolved_sources(stored: Sources, meta: DataFrame) -> DataFrame:
+    """(file_id, source_value, external_reference) of stored links and of metadata."""
+    named = stored.sources.select(F.col("id").alias("source_id"), strip(F.col("name")).alias("source_value")).where("source_value <> ''")
+    links = stored.file_sources.join(named, "source_id").select("file_id", "source_value", "external_reference")
+    return links.unionByName(source_rows(meta)).distinct()

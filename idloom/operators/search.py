@@ -74,15 +74,22 @@ def file_records(files: DataFrame, meta: DataFrame, members: DataFrame) -> DataF
     return files.join(d, "id", "left").join(n_meta, "id", "left").join(n_members, "id", "left").fillna(0, ["n_metadata", "n_members"])
 
 
-def file_page(page: DataFrame, meta: DataFrame, members: DataFrame) -> DataFrame:
-    """The files of one page with nested metadata (by time, id) and members (by
-    path, id), as three aggregates in one plan. Only for pages: nested lists of
-    whole tables would make rows without a bound; use ``file_records`` there."""
+def file_page(page: DataFrame, meta: DataFrame, members: DataFrame, conflicts: DataFrame | None = None) -> DataFrame:
+    """The files of one page with nested metadata (by time, id), members (by path,
+    id) and conflicts (by id, from either side), as aggregates in one plan. Only
+    for pages: nested lists of whole tables would make rows without a bound; use
+    ``file_records`` there."""
     ids = F.broadcast(page.select("id"))
     m = meta.join(ids.withColumnRenamed("id", "file_id"), "file_id").groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("added_at", F.col("id").alias("meta_id"), "metadata_type", "name", "value", "notes"))).alias("metadata"))
     a = members.join(ids.withColumnRenamed("id", "parent_file_id"), "parent_file_id").groupBy(F.col("parent_file_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("archive_path", F.col("id").alias("member_id"), "child_file_id"))).alias("archive_members"))
     hashes = F.create_map(*[x for h in ALGORITHMS for x in (F.lit(h), F.col(h))]).alias("hashes")
-    return page.select("*", hashes).join(derived_fields(meta.join(ids.withColumnRenamed("id", "file_id"), "file_id")).withColumnRenamed("file_id", "id"), "id", "left").join(m, "id", "left").join(a, "id", "left")
+    out = page.select("*", hashes).join(derived_fields(meta.join(ids.withColumnRenamed("id", "file_id"), "file_id")).withColumnRenamed("file_id", "id"), "id", "left").join(m, "id", "left").join(a, "id", "left")
+    if conflicts is None:
+        return out
+    whole = F.struct(F.col("id").alias("conflict_id"), *[c for c in conflicts.columns if c != "id"])
+    sides = conflicts.select(F.explode(F.array_distinct(F.array("file_id", "related_file_id"))).alias("side"), whole.alias("c")).withColumnRenamed("side", "id")
+    c = sides.join(ids, "id").groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("identity_conflicts"))
+    return out.join(c, "id", "left")
 
 
 def matching_ids(files: DataFrame, meta: DataFrame, members: DataFrame, query: str, conflicts: DataFrame | None = None) -> DataFrame:

@@ -36,10 +36,13 @@ def local_session(cores: int | str = "*", **conf) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` of the session; a
-    temporary one only where that is unset (one machine, as in tests)."""
+    temporary one only where that is unset and all runs on one machine, as in
+    tests. A cluster without the setting is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIRS:
         _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="idloom-"))
         atexit.register(shutil.rmtree, _LOCAL_DIRS[0], True)

@@ -70,6 +70,16 @@ def stream_hashes(stream, algorithms: tuple[str, ...], chunk: int = CHUNK) -> tu
     return size, {a: h.hexdigest() for a, h in hs.items()}
 
 
+def _opened(path: str):
+    """A stream of a file on any file system the path names."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner)
+
+
 def _source(spark: SparkSession, path: str, recursive: bool) -> tuple[DataFrame, DataFrame]:
     """(files with contents, paths of empty files); the scan leaves out empty
     files, so they are taken from its listing, which the driver holds anyway."""
@@ -96,7 +106,7 @@ def file_hashes(spark: SparkSession, path: str, algorithms: tuple[str, ...] = ("
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                with open(p.removeprefix("file:"), "rb") as f:
+                with _opened(p) as f:
                     size, hs = stream_hashes(f, tuple(names))
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([size]), *[pa.array([hs[a]]) for a in names]], names=["path", "size_bytes", *names])
 

@@ -2,17 +2,17 @@
 
 State steps are pure functions from tables to tables; ``run_stream`` applies the
 merges to a stream of discoveries in ``foreachBatch``, so a restart continues
-from the stream's checkpoint and a repeated batch changes nothing.
+from the stream's checkpoint and a batch run again gives the same version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idloom.functions.hashes import clean_hash
-from idloom.functions.scalars import is_archive_name, is_container_name, missing_identity
-from idloom.session import Scratch
+from idloom.functions.scalars import collection_key, collection_of, is_container_name, missing_identity, wants_scan
+from idloom.session import Scratch, partitions
 
 ITEM_OPEN, ITEM_RETRY = ("discovered",), ("metadata_failed",)
 FILE_OPEN, FILE_RETRY = ("pending", "downloading"), ("failed", "skipped")
@@ -93,6 +93,118 @@ def open_files(files: DataFrame, retry_failed: bool = False, limit: int | None =
     return rows if limit is None else rows.limit(max(0, limit))
 
 
+def queue_actions(files: DataFrame, original_only: bool = False, max_bytes: int | None = None, retry_failed: bool = False, min_size: int | None = None, max_size: int | None = None, deep: bool = False, archive_scan: bool = True) -> DataFrame:
+    """What happens to each open file next: ``action`` (skip, done, defer or fetch) and ``reason``.
+
+    A file done or failed before stays as it is; one that may not be taken is
+    skipped; one whose identity is stored and that needs no scan is done; the
+    others are fetched unless their download has to wait.
+    """
+    skip, wait = skip_reason(original_only, max_bytes, retry_failed), defer_reason(min_size, max_size, deep)
+    action = F.when(skip.isNotNull(), "skip").when(~needs_analysis(archive_scan), "done").when(wait.isNotNull(), "defer").otherwise("fetch")
+    return open_files(files, retry_failed).withColumn("action", action).withColumn("reason", F.when(F.col("action") == "skip", skip).when(F.col("action") == "defer", wait))
+
+
+def action_updates(actions: DataFrame) -> DataFrame:
+    """The marks that ``queue_actions`` ask for; files to defer or to fetch stay as they are."""
+    rows = actions.where("action in ('skip', 'done')")
+    status = F.when(F.col("action") == "done", "done").when(F.col("reason").isin("done", "failed"), F.col("status")).otherwise("skipped")
+    error = F.when((F.col("action") == "skip") & F.col("reason").isin("done", "failed"), F.col("error")).otherwise(F.col("reason"))
+    return rows.select("item_identifier", "name", status.alias("status"), error.alias("error"))
+
+
+def crawl_counters(actions: DataFrame) -> DataFrame:
+    """One row of counters over a queue's actions."""
+    return actions.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("skip", "skipped_files"), ("done", "known_files"), ("defer", "deferred_files"), ("fetch", "fetched_files"))], F.coalesce(F.sum(F.when(F.col("action") == "fetch", F.col("size_bytes"))), F.lit(0)).alias("fetched_bytes"))
+
+
+# -- marks and getters ---------------------------------------------------------------
+
+
+def _given(updates: DataFrame, name: str, kind: str) -> Column:
+    return F.col(f"u.{name}") if name in updates.columns else F.lit(None).cast(kind)
+
+
+def mark_items(items: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+    """Items after ``updates`` (identifier, status, error?, metadata_json?, more_attempts?):
+    status and error are replaced, a record replaces the stored one if given.
+    Identifiers that are not there change nothing; one update an identifier."""
+    hit = F.col("u.status").isNotNull()
+    j = items.alias("s").join(updates.alias("u"), "identifier", "left")
+    new = {
+        "status": F.when(hit, F.col("u.status")).otherwise(F.col("s.status")),
+        "error": F.when(hit, _given(updates, "error", "string")).otherwise(F.col("s.error")),
+        "metadata_json": F.coalesce(_given(updates, "metadata_json", "string"), "s.metadata_json"),
+        "attempts": F.col("s.attempts") + F.coalesce(_given(updates, "more_attempts", "int"), F.lit(0)),
+        "updated_at": F.when(hit, now).otherwise(F.col("s.updated_at")),
+    }
+    return j.select(*[F.col(c) if c == "identifier" else new.get(c, F.col(f"s.{c}")).alias(c) for c in items.columns])
+
+
+def mark_files(files: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+    """Files after ``updates`` (item_identifier, name, status, and ufid_file_id?,
+    downloaded_path?, size_bytes?, error?, more_attempts?): status and error are
+    replaced, the others only by what is given. One update a file."""
+    key = ["item_identifier", "name"]
+    hit = F.col("u.status").isNotNull()
+    j = files.alias("s").join(updates.alias("u"), key, "left")
+    new = {
+        "status": F.when(hit, F.col("u.status")).otherwise(F.col("s.status")),
+        "error": F.when(hit, _given(updates, "error", "string")).otherwise(F.col("s.error")),
+        "attempts": F.col("s.attempts") + F.coalesce(_given(updates, "more_attempts", "int"), F.lit(0)),
+        "updated_at": F.when(hit, now).otherwise(F.col("s.updated_at")),
+    } | {c: F.coalesce(_given(updates, c, k), f"s.{c}") for c, k in (("ufid_file_id", "long"), ("downloaded_path", "string"), ("size_bytes", "long"))}
+    return j.select(*[F.col(c) if c in key else new.get(c, F.col(f"s.{c}")).alias(c) for c in files.columns])
+
+
+def record_identities(files: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Files after their stored identity is known (item_identifier, name,
+    ufid_file_id): what failed or was skipped waits again, errors go."""
+    status = F.when(F.col("status").isin(*FILE_RETRY), "pending").otherwise(F.col("status"))
+    known = files.join(ids.select("item_identifier", "name", F.col("ufid_file_id").alias("new_id")), ["item_identifier", "name"], "left")
+    hit = F.col("new_id").isNotNull()
+    new = {"ufid_file_id": F.coalesce("new_id", "ufid_file_id"), "status": F.when(hit, status).otherwise(F.col("status")), "error": F.when(~hit, F.col("error")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
+    return known.select(*[new.get(c, F.col(c)).alias(c) for c in files.columns])
+
+
+def get_item(items: DataFrame, identifier: str) -> DataFrame:
+    return items.where(F.col("identifier") == identifier).select("identifier", "status", "attempts", "error")
+
+
+def get_file(files: DataFrame, item_identifier: str, name: str) -> DataFrame:
+    return files.where((F.col("item_identifier") == item_identifier) & (F.col("name") == name)).select("item_identifier", "name", "status", "attempts", "ufid_file_id", "error")
+
+
+def scanned_items(items: DataFrame) -> DataFrame:
+    """Items whose record has been read."""
+    return items.where(F.col("status").isin("done", "metadata_done"))
+
+
+def collection_items(items: DataFrame) -> DataFrame:
+    """Items that are collections themselves, in the order they were seen."""
+    return items.where(F.lower("mediatype") == "collection").orderBy("first_seen_at", "identifier")
+
+
+def events(rows: DataFrame, level: str, message: Column, details: dict[str, Column] | None, now: Column) -> DataFrame:
+    """Log rows (level, item_identifier, file_name, message, details_json, created_at)
+    for queue rows; details are JSON with sorted keys, or null."""
+    have = set(rows.columns)
+    named = lambda *names: next((F.col(n) for n in names if n in have), F.lit(None).cast("string"))
+    body = F.to_json(F.struct(*[details[k].alias(k) for k in sorted(details)]), {"ignoreNullFields": "false"}) if details else F.lit(None).cast("string")
+    return rows.select(F.lit(level).alias("level"), named("item_identifier", "identifier").alias("item_identifier"), named("file_name", "name").alias("file_name"), message.alias("message"), body.alias("details_json"), now.alias("created_at"))
+
+
+def progress_lines(rows: DataFrame, as_json: bool = True) -> DataFrame:
+    """Log rows as lines of text (``value``): JSON objects, or level and message with details."""
+    if as_json:
+        details = F.from_json(F.coalesce("details_json", F.lit("{}")), "map<string,string>")
+        own = F.create_map(F.lit("level"), F.col("level"), F.lit("message"), F.col("message"))
+        return rows.select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(own, F.map_filter(details, lambda k, v: ~k.isin("level", "message"))))))).alias("value"))
+    details = F.map_entries(F.from_json(F.coalesce("details_json", F.lit("{}")), "map<string,string>"))
+    tail = F.array_join(F.transform(details, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("")))), " ")
+    return rows.select(F.concat(F.lit("["), "level", F.lit("] "), "message", F.when(tail == "", "").otherwise(F.concat(F.lit(" ("), tail, F.lit(")")))).alias("value"))
+
+
 def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -129,7 +241,7 @@ def defer_reason(min_bytes: int | None = None, max_bytes: int | None = None, dee
 def needs_analysis(archive_scan: bool = True):
     """A file must be fetched if its identity is not known, or for a scan of an archive."""
     known = (F.coalesce(F.col("needs_downloaded_identity"), F.lit(0)) == 0) & F.col("ufid_file_id").isNotNull()
-    return ~known | (F.coalesce(is_archive_name(F.col("name")), F.lit(False)) & F.lit(archive_scan))
+    return ~known | (wants_scan(F.col("name"), F.col("format")) & F.lit(archive_scan))
 
 
 def fixity(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -170,28 +282,75 @@ def next_checkpoint(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("crawl_key", F.when(has, F.col("n.cursor")).otherwise(F.col("o.cursor")).alias("cursor"), F.coalesce("n.completed", "o.completed").alias("completed"), F.coalesce("n.imported", "o.imported").alias("imported"))
 
 
-def run_stream(spark: SparkSession, source: DataFrame, state_dir: str, checkpoint: str) -> None:
+def with_aliases(checkpoints: DataFrame, query: str = "query") -> DataFrame:
+    """Checkpoints and, for searches for a collection, the same under the
+    collection's own key, so that it is found whatever search came to it."""
+    alias = collection_key(collection_of(F.col(query)))
+    more = checkpoints.withColumn("crawl_key", F.when(alias != F.col("crawl_key"), alias)).where("crawl_key is not null")
+    return checkpoints.unionByName(more).dropDuplicates(["crawl_key"])
+
+
+def run_stream(spark: SparkSession, source: DataFrame, state_dir: str, checkpoint: str, buckets: int | None = None, trigger: dict | None = None) -> None:
     """Merge a stream of discovered items into the state kept in ``state_dir``.
 
-    The state is written as a new version for each batch and the pointer moved
-    after it, so a lost batch is run again from the last full version.
+    Batch n reads the newest whole version before n and writes version n, in
+    buckets by identifier; a version is whole once its mark is there, which is
+    made by one rename after all data. A batch that broke, or that is run again,
+    starts from the same version and gives the same. Versions before the one a
+    batch read are dropped. A damaged state is an error, never an empty one.
     """
+    n_parts = buckets or partitions(spark)
 
     def step(batch: DataFrame, n: int) -> None:
-        old = read_state(spark, state_dir)
-        merged = merge_items(old, batch) if old is not None else merge_items(latest(batch, ["identifier"]).limit(0), batch)
-        merged.withColumn("_version", F.lit(n)).write.mode("overwrite").parquet(f"{state_dir}/v{n}")
-        spark.createDataFrame([(n,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{state_dir}/current")
+        seen = [v for v in _versions(spark, state_dir) if v < n]
+        old = _version(spark, state_dir, seen[-1]) if seen else latest(batch, ["identifier"]).limit(0)
+        path = f"{state_dir}/v{n}"
+        merge_items(old, batch).repartition(n_parts, "identifier").write.mode("overwrite").parquet(path)
+        _mark(spark, state_dir, n)
+        for v in seen[:-1]:
+            _remove(spark, f"{state_dir}/mark-{v}")
+            _remove(spark, f"{state_dir}/v{v}")
+
+    source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, which knows every scheme the session does."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, state_dir: str) -> list[int]:
+    """Numbers of the whole versions, in order."""
+    fs, p = _files(spark, state_dir)
+    if not fs.exists(p):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    return sorted(int(n.removeprefix("mark-")) for n in names if n.startswith("mark-") and n[5:].isdigit())
+
+
+def _version(spark: SparkSession, state_dir: str, n: int) -> DataFrame:
+    return spark.read.parquet(f"{state_dir}/v{n}")
+
+
+def _mark(spark: SparkSession, state_dir: str, n: int) -> None:
+    fs, making = _files(spark, f"{state_dir}/making-{n}")
+    done = _files(spark, f"{state_dir}/mark-{n}")[1]
+    fs.create(making, True).close()
+    if not fs.exists(done) and not fs.rename(making, done):
+        raise OSError(f"could not mark version {n}")
+
 
-    source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame | None:
-    try:
-        n = spark.read.parquet(f"{state_dir}/current").first()[0]
-    except Exception:
-        return None
-    return spark.read.parquet(f"{state_dir}/v{n}").drop("_version")
+    """The newest whole version; None only if there is none yet."""
+    seen = _versions(spark, state_dir)
+    return _version(spark, state_dir, seen[-1]) if seen else None
 
 
 def clean_declared(files: DataFrame) -> DataFrame:

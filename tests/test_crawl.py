@@ -117,3 +117,80 @@ def test_records_are_fetched_or_say_why_not(spark):
     got = {r.identifier: (r.metadata_json, r.error) for r in cs.fetched_records(ids, "fake_search:record", least_wait=0).collect()}
     assert got["a"] == ('{"metadata": {"identifier": "a"}}', None)
     assert got["gone"] == (None, "item not found: gone") and got["bad"] == (None, "no rights") and got["odd"][1].startswith("unexpected")
+
+
+def test_a_batch_run_again_and_a_write_that_breaks(spark, tmp_path, monkeypatch):
+    src, state, cp = (str(tmp_path / n) for n in ("src", "state", "cp"))
+    put = lambda i, t: spark.createDataFrame([(i, "q", t, None, "x", None, 0, None, T[0], T[0])], ITEM).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: crawl.run_stream(spark, spark.readStream.schema(ITEM).parquet(src), state, cp, 2)
+    rows = lambda: {(r.identifier, r.title) for r in crawl.read_state(spark, state).collect()}
+    assert crawl.read_state(spark, state) is None
+    put("a", "one")
+    run()
+    put("b", "two")
+    # the write of the second version breaks before its mark is made
+    whole = crawl._mark
+
+    def broken(*args):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(crawl, "_mark", broken)
+    try:
+        run()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert "disk full" in str(e)
+    assert rows() == {("a", "one")}
+    monkeypatch.setattr(crawl, "_mark", whole)
+    run()
+    assert rows() == {("a", "one"), ("b", "two")}
+    # as if the stream's checkpoint had been lost after the last batch: the batch runs again
+    for part in ("commits",):
+        last = max(os.listdir(f"{cp}/{part}"), key=lambda n: (n.isdigit(), n))
+        os.remove(f"{cp}/{part}/{last}")
+        crc = f"{cp}/{part}/.{last}.crc"
+        if os.path.exists(crc):
+            os.remove(crc)
+    run()
+    assert rows() == {("a", "one"), ("b", "two")}
+    put("c", "three")
+    run()
+    assert rows() == {("a", "one"), ("b", "two"), ("c", "three")}
+    assert len([n for n in os.listdir(state) if n.startswith("v")]) == 2
+    # a damaged version is an error, never an empty state
+    newest = f"{state}/v{crawl._versions(spark, state)[-1]}"
+    for n in os.listdir(newest):
+        os.remove(f"{newest}/{n}")
+    try:
+        crawl.read_state(spark, state).collect()
+        raise AssertionError("no error")
+    except Exception as e:
+        assert not isinstance(e, AssertionError)
+
+
+def test_marks_and_getters(spark):
+    now = F.lit(T[5])
+    items = spark.createDataFrame([("a", "q", None, "Collection", "discovered", None, 0, None, T[0], T[0]), ("b", "q", None, "texts", "metadata_failed", None, 2, "old", T[1], T[1])], ITEM)
+    marks = spark.createDataFrame([("a", "metadata_done", None, "{}", 0), ("b", "metadata_failed", "again", None, 1), ("z", "done", None, None, 0)], "identifier string, status string, error string, metadata_json string, more_attempts int")
+    got = {r.identifier: (r.status, r.error, r.metadata_json, r.attempts, r.updated_at) for r in crawl.mark_items(items, marks, now).collect()}
+    assert got == {"a": ("metadata_done", None, "{}", 0, T[5]), "b": ("metadata_failed", "again", None, 3, T[5])}
+    after = crawl.mark_items(items, marks, now)
+    assert [r.identifier for r in crawl.scanned_items(after).collect()] == ["a"] == [r.identifier for r in crawl.collection_items(items).collect()]
+    assert crawl.get_item(after, "b").first().attempts == 3 and crawl.get_item(after, "z").first() is None
+    files = spark.createDataFrame([("i", "f", "original", 1, "failed", 3, None, "err", None, T[0], T[1]), ("i", "g", "original", 1, "done", 0, 5, None, "/p", T[0], T[1])], FILE)
+    ids = crawl.record_identities(files, spark.createDataFrame([("i", "f", 8)], "item_identifier string, name string, ufid_file_id long"), now)
+    assert {r.name: (r.status, r.ufid_file_id, r.error) for r in ids.collect()} == {"f": ("pending", 8, None), "g": ("done", 5, None)}
+    marked = crawl.mark_files(files, spark.createDataFrame([("i", "g", "failed", None, "lost", 1)], "item_identifier string, name string, status string, ufid_file_id long, error string, more_attempts int"), now)
+    assert tuple(crawl.get_file(marked, "i", "g").first()) == ("i", "g", "failed", 1, 5, "lost")
+    assert crawl.mark_files(files, marked.limit(0).select("item_identifier", "name", "status"), now).exceptAll(files).count() == 0
+
+
+def test_events_and_aliases(spark):
+    rows = spark.createDataFrame([("i", "f", 3, None)], "item_identifier string, name string, n int, m string")
+    ev = crawl.events(rows, "info", F.lit("done"), {"n": F.col("n"), "m": F.col("m")}, F.lit(T[0]))
+    assert ev.first().details_json == '{"m":null,"n":3}' and ev.first().file_name == "f"
+    assert crawl.progress_lines(ev).first()[0] == '{"level":"info","m":null,"message":"done","n":"3"}'
+    assert crawl.progress_lines(ev, False).first()[0] == "[info] done (m= n=3)"
+    assert crawl.events(rows, "info", F.lit("x"), None, F.lit(T[0])).first().details_json is None
+    cp = spark.createDataFrame([("own", "collection:c", "cur", False), ("collection::d", "collection:d", None, True), ("t", "title:x", None, True)], "crawl_key string, query string, cursor string, completed boolean")
+    assert {(r.crawl_key, r.cursor, r.completed) for r in crawl.with_aliases(cp).collect()} == {("own", "cur", False), ("collection::c", "cur", False), ("collection::d", None, True), ("t", None, True)}

@@ -174,3 +174,63 @@ def test_pages(spark):
     assert [r.id for r in search.files_by_hash(files, "MD-5", "M").collect()] == [3, 2, 1]
     page = {r.id: r for r in search.file_page(files, meta, members).collect()}
     assert page[1].archive_members[0].archive_path == "dir/file" and page[2].metadata[0].value == "Alpha" and page[3].hashes["sha256"] == "a"
+
+
+def test_conflicts_of_classes_equal_pairs(spark):
+    r = random.Random(5)
+    rows = [(i + 1, r.choice([1, 2]), f"{r.randrange(3):08x}", f"{r.randrange(4):032x}", f"{i:040x}", None, None) for i in range(60)]
+    files = spark.createDataFrame(rows, FILES)
+    created = files.where("id > 20")
+    none = spark.createDataFrame([], "id long, " + ", ".join(f"{k} {'long' if k.endswith(('file_id', 'size_bytes')) else 'string'}" for k in identity.CONFLICT_KEY))
+    logged = identity.log_conflicts(none, identity.overlap_conflicts(files, created)).cache()
+    assert identity.log_conflicts(logged, identity.overlap_conflicts(files, created)).count() == 0
+    pairs = {(a[0], b[0], n) for a in rows for b in rows if a[0] < b[0] and b[0] > 20 and a[1] == b[1] for n, k in (("crc32", 2), ("md5", 3)) if a[k] == b[k]}
+    for f in (1, 5, 21, 60):
+        got = [(x.file_id, x.related_file_id, x.algorithm) for x in identity.conflicts_of(logged, files, f).collect()]
+        assert sorted(got) == sorted(p for p in pairs if f in p[:2])
+    assert identity.conflict_counts(logged).agg(F.sum("n_conflicts")).first()[0] == 2 * logged.count()
+    logged.unpersist()
+
+
+def test_sources_are_stored_once(spark):
+    meta = spark.createDataFrame([(1, 7, "text", "source", " logiqx_dat ", None, None), (2, 7, "text", "dat_filename", "a.dat", None, None), (3, 7, "text", "source", "logiqx_dat", None, None), (4, 8, "text", "source", "own", None, None), (5, 8, "text", "source", " ", None, None), (6, 9, "text", "source", None, None, None)], META)
+    stored = provenance.Sources(spark.createDataFrame([(3, "own", None)], "id long, name string, description string"), spark.createDataFrame([(8, 3, "")], "file_id long, source_id long, external_reference string"))
+    got = provenance.add_sources(stored, meta)
+    assert {tuple(r) for r in got.sources.collect()} == {(3, "own", "own"), (4, "logiqx_dat", "Logiqx DAT")}
+    assert {tuple(r) for r in got.file_sources.collect()} == {(8, 3, ""), (7, 4, "a.dat")}
+    assert {r[0] for r in provenance.source_catalog(got.sources, meta).collect()} == {"own", "logiqx_dat"}
+    assert {tuple(r) for r in provenance.resolved_sources(got, meta).collect()} == {(8, "own", ""), (7, "logiqx_dat", "a.dat")}
+
+
+def test_names_of_a_crawl(spark):
+    df = spark.createDataFrame([(" Collection: \"abc\" ",), ("collection:a b",), ("collection:",), ("title:x",), (None,)], "q string")
+    got = [r[0] for r in df.select(scalars.collection_of(F.col("q"))).collect()]
+    assert got == ["abc", None, None, None, None]
+    names = spark.createDataFrame([("x_META.xml", None), ("a/files.xml", None), ("b.zip", "Metadata"), ("b.zip", None), (None, None)], "n string, f string")
+    assert [r[0] for r in names.select(scalars.is_artifact(F.col("n"), F.col("f"))).collect()] == [True, True, True, False, False]
+    parts = spark.createDataFrame([("con",), (" a. ",), ("..",), ("x<y>|z",), ("n" * 300,), ("",)], "c string")
+    assert [r[0] for r in parts.select(scalars.safe_component(F.col("c"))).collect()] == ["_con", "a", "_", "x_y__z", "n" * 180, "_"]
+    assert scalars.key_values(["a=1", " b =x=y", "a=2"]) == {"a": "2", "b": "x=y"}
+    for bad in ("novalue", " =x"):
+        with pytest.raises(ValueError):
+            scalars.key_values([bad])
+    assert scalars.url_with("u?a=1", {"b": "x y"}) == "u?a=1&b=x+y" and scalars.url_with("u") == "u"
+    with pytest.raises(ValueError):
+        scalars.record_rows(df.withColumn("j", F.lit("{}")).withColumnRenamed("q", "name"), "j", [], "name")
+
+
+def test_match_records_and_pages(spark):
+    alerts = al.normalized(spark.createDataFrame([(1, "n", "d", 5, "0" * 8, None, None)], "id long, name string, description string, size_bytes long, crc32 string, md5 string, sha1 string"))
+    files = spark.createDataFrame([(9, 5, "0" * 8, "1" * 32, "2" * 40, None, None)], FILES)
+    meta = spark.createDataFrame([(1, 9, "text", "ia_identifier", "it", None, None), (2, 9, "text", "source", "internet_archive", None, None), (3, 9, "text", "filename", "f.bin", None, None)], META)
+    members = spark.createDataFrame([], "id long, parent_file_id long, child_file_id long, archive_path string")
+    links = spark.createDataFrame([(4, 1)], "user_id long, alert_id long")
+    none = spark.createDataFrame([], "user_id long, alert_id long, file_id long, " + ", ".join(f"matched_{h} int" for h in scalars.ALGORITHMS) + ", size_matched int, found_at timestamp")
+    stored, _ = al.scan(alerts, links, files, none, F.lit("2024-01-01").cast("timestamp"))
+    r = al.match_records(al.match_page(al.match_rows(stored, alerts, files, meta, members))).first()
+    assert r.alert.hashes["crc32"] == "0" * 8 and r.file.display_name == "f.bin" and r.matched_algorithms == ["crc32"] and r.size_matched
+    assert r.file.source.label == "Internet Archive" and r.file.record.item_url.endswith("/details/it")
+    bare = al.match_records(al.match_rows(stored, alerts, files, meta.limit(0), members)).first()
+    assert bare.file.source is None and bare.file.record is None and bare.file.display_name is None
+    assert al.match_page(al.match_rows(stored, alerts, files, meta, members), 200, 1).count() == 0
+    assert "fingerprint" not in al.alert_records(alerts).columns and al.given_values([" a", "", "a", "b"]) == ["a", "b"]

@@ -15,6 +15,10 @@ from idloom.functions import scalars
 from idloom.sources import archives, crawl_source, dat, hashing
 
 
+def _entries(*args):
+    return list(archives.entries(*args))
+
+
 def _zip(members, nested=None):
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w") as z:
@@ -59,27 +63,27 @@ def test_hashes(spark, tmp_path):
 
 def test_archive_kinds():
     members = [("docs/readme.txt", b"r"), ("empty-folder/", b""), ("docs/", b"")]
-    got = archives.entries(_zip(members), "a.bin")
+    got = _entries(_zip(members), "a.bin")
     assert [(e.path, e.is_empty_directory, e.payload) for e in got] == [("empty-folder", True, None), ("docs/readme.txt", False, b"r")]
     for mode in ("w", "w:gz", "w:bz2", "w:xz"):
-        got = archives.entries(_tar([("d/e", None), ("x/y.txt", b"1"), ("x", None)], mode), None)
+        got = _entries(_tar([("d/e", None), ("x/y.txt", b"1"), ("x", None)], mode), None)
         assert [(e.path, e.is_empty_directory) for e in got] == [("d/e", True), ("x/y.txt", False)]
     for suffix, pack in ((".gz", gzip.compress), (".bz2", bz2.compress), (".xz", lzma.compress), (".lzma", lambda b: lzma.compress(b, lzma.FORMAT_ALONE))):
-        assert [(e.path, e.payload) for e in archives.entries(pack(b"p"), f"folder/payload.bin{suffix}")] == [("payload.bin", b"p")]
+        assert [(e.path, e.payload) for e in _entries(pack(b"p"), f"folder/payload.bin{suffix}")] == [("payload.bin", b"p")]
     import zstandard
 
-    assert archives.entries(zstandard.compress(b"p"), "a.zst")[0].payload == b"p"
-    assert archives.entries(zstandard.compress(_tar([("a", b"1")])), "a.tar.zst")[0].path == "a"
-    assert archives.entries(gzip.compress(b"x"), "a.warc.gz") == [] == archives.entries(gzip.compress(b"x"), "a.cdx.gz")
-    assert archives.entries(b"plain", "a.txt") == [] and archives.entries(b"", "") == []
-    assert archives.entries(b"broken", "a.zip")[0].error and archives.entries(b"broken", "a.gz")[0].error
+    assert _entries(zstandard.compress(b"p"), "a.zst")[0].payload == b"p"
+    assert _entries(zstandard.compress(_tar([("a", b"1")])), "a.tar.zst")[0].path == "a"
+    assert _entries(gzip.compress(b"x"), "a.warc.gz") == [] == _entries(gzip.compress(b"x"), "a.cdx.gz")
+    assert _entries(b"plain", "a.txt") == [] and _entries(b"", "") == []
+    assert _entries(b"broken", "a.zip")[0].error and _entries(b"broken", "a.gz")[0].error
     whole = bytearray(_zip([("a", b"A" * 50), ("b", b"B")]))
     whole[45] ^= 255
-    got = archives.entries(bytes(whole), "a.zip")
+    got = _entries(bytes(whole), "a.zip")
     assert got[0].error and got[0].path == "a" and got[1].payload == b"B"
     locked = bytearray(_zip([("a", b"A")]))
     locked[locked.find(b"PK\x01\x02") + 8] |= 1
-    assert "Encrypted" in archives.entries(bytes(locked), None)[0].error
+    assert "Encrypted" in _entries(bytes(locked), None)[0].error
 
 
 def test_nested_members_as_rows(spark):
