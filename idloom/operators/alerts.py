@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from idloom.functions.hashes import HEX_LENGTHS, clean_hash, is_hex
 from idloom.functions.scalars import ALGORITHMS, ascii_json, contains, optional_size, optional_text
 from idloom.operators.identity import append_missing
-from idloom.operators.joins import lookup
+from idloom.operators.joins import lookup, spread_join
 from idloom.operators.provenance import source_label
 from idloom.operators.search import PAGE_MOST, hash_rows
 from idloom.session import Scratch
@@ -72,7 +72,7 @@ def matches(alerts: DataFrame, files: DataFrame) -> DataFrame:
     asked = hash_rows(alerts, F.col("id").alias("alert_id"), F.col("size_bytes").alias("alert_size"))
     values = asked.select("algorithm", "value").distinct()
     known = hash_rows(files, F.col("id").alias("file_id"), F.col("size_bytes").alias("file_size")).join(values, ["algorithm", "value"], "left_semi")
-    hit = asked.join(known, ["algorithm", "value"]).where("alert_size is null or alert_size = file_size")
+    hit = spread_join(asked, known, ["algorithm", "value"]).where("alert_size is null or alert_size = file_size")
     flags = [F.max((F.col("algorithm") == a).cast("int")).alias(f"matched_{a}") for a in ALGORITHMS]
     return hit.groupBy("alert_id", "file_id").agg(*flags, F.max(F.col("alert_size").isNotNull().cast("int")).alias("size_matched"))
 

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idloom.session import Scratch, count_rows
+from idloom.operators.joins import spread_join
+from idloom.session import Scratch, count_rows, partitions
 
 #: Edges that one task takes; about 100 bytes each there.
 LOCAL_EDGES = 400_000
@@ -41,15 +42,15 @@ def links_of(members: DataFrame) -> DataFrame:
     return members.where("parent_file_id is not null and child_file_id is not null").select(F.col("parent_file_id").cast("long").alias("parent"), F.col("child_file_id").cast("long").alias("child")).distinct()
 
 
-def _in_one_task(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(table)`` over all rows at once; only for inputs of a checked size."""
+def _held(batches: Iterator[pa.RecordBatch], fn: Callable) -> Iterator[pa.RecordBatch]:
+    """``fn(table)`` over all rows of a task; only for inputs of a checked size."""
+    held = list(batches)
+    if held:
+        yield from fn(pa.Table.from_batches(held))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if held:
-            yield from fn(pa.Table.from_batches(held))
 
-    return df.coalesce(1).mapInArrow(run, schema)
+def _in_one_task(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    return df.coalesce(1).mapInArrow(lambda batches: _held(batches, fn), schema)
 
 
 # -- circles ---------------------------------------------------------------------
@@ -215,6 +216,25 @@ def peel(scratch: Scratch, edges: DataFrame, local_edges: int = LOCAL_EDGES) ->
 # -- descendants -----------------------------------------------------------------
 
 
+def _local_components(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Edges with the component they belong to, whatever way they point."""
+    p, c = t.column("parent").to_numpy(), t.column("child").to_numpy()
+    ids, at = np.unique(np.concatenate([p, c]), return_inverse=True)
+    up = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in zip(at[: len(p)].tolist(), at[len(p) :].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    part = ids[[top(x) for x in at[: len(p)].tolist()]] if len(p) else p
+    yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c), pa.array(part)], names=["parent", "child", "component"])
+
+
 def _local_reach(t: pa.Table) -> Iterator[pa.RecordBatch]:
     """(ancestor, via): every node of a small acyclic graph with all it reaches and itself."""
     p, c = t.column("parent").to_numpy(), t.column("child").to_numpy()
@@ -251,11 +271,47 @@ def _local_reach(t: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["ancestor", "via"])
 
 
-def descendants(members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(file_id, member_id): every file with all files below it, at any depth.
+@dataclass
+class Closure:
+    """What lies below each class of files: a circle is one class, named by its least
+    file, any other file is its own."""
+
+    ring: DataFrame
+    parts: list[DataFrame]
+
+    def pairs(self) -> DataFrame:
+        """(file_id, member_id) between different classes, each once."""
+        out = self.parts[0]
+        for x in self.parts[1:]:
+            out = out.unionByName(x)
+        return out.select(F.col("node").alias("file_id"), F.col("member").alias("member_id"))
+
+    def circles(self) -> DataFrame:
+        """(circle, n_files)"""
+        return self.ring.groupBy("circle").agg(F.count(F.lit(1)).alias("n_files"))
+
+    def sizes(self) -> DataFrame:
+        """(file_id, n_members): different files below each that has any; files of a
+        circle are below each other and below themselves.
+
+        A class's list is whole when it is peeled, so its size is one count, in
+        the round that sends it up; a circle below counts by its files.
+        """
+        rings = self.circles()
+        each = None
+        for x in self.parts:
+            more = x.join(rings, F.col("member") == F.col("circle")).select("node", (F.col("n_files") - 1).alias("n"))
+            n = x.select("node", F.lit(1).cast("long").alias("n")).unionByName(more).groupBy("node").agg(F.sum("n").alias("n"))
+            each = n if each is None else each.unionByName(n)
+        whole = each.unionByName(rings.select(F.col("circle").alias("node"), F.col("n_files").alias("n"))).groupBy("node").agg(F.sum("n").alias("n"))
+        holders = self.ring.select(F.col("circle").alias("node"), F.col("node").alias("holder"))
+        return whole.join(holders, "node", "left").select(F.coalesce("holder", "node").alias("file_id"), F.col("n").alias("n_members"))
+
+
+def closure(members: DataFrame, local_edges: int = LOCAL_EDGES) -> Closure:
+    """Peel from the bottom; leaves send their lists of descendants up, as rows and
+    never as one array, so one huge archive is no huge row.
 
-    The files of a circle hold each other and themselves.  Lists of descendants
-    travel as rows, never as one array, so one huge archive is no huge row.
     Repeated edges count once; null ends are left out; empty input, empty result.
     """
     spark = members.sparkSession
@@ -268,27 +324,38 @@ def descendants(members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame
     order = peel(scratch, dag, local_edges)
     pending = spark.createDataFrame([], "node long, member long")
     done: list[DataFrame] = []
-    for i, leaves in enumerate(order.rounds):
+    for leaves in order.rounds:
         gone = leaves.select(F.col("child").alias("node")).distinct().withColumn("gone", F.lit(True))
         split = scratch.save(pending.join(gone, "node", "left"), "split")
         full = split.where("gone").select("node", "member")
         done.append(full)
-        below = full.union(gone.select("node", F.col("node").alias("member")))
-        told = leaves.join(below.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "member")
+        below = full.union(gone.select("node", F.col("node").alias("member"))).withColumnRenamed("node", "child")
+        # a child with many parents and a long list is hot on both sides
+        told = spread_join(leaves, below, ["child"]).select(F.col("parent").alias("node"), "member")
         pending = scratch.save(split.where("gone is null").select("node", "member").union(told).distinct(), "pending")
-    reach = scratch.save(_in_one_task(order.rest, _local_reach, "ancestor long, via long"), "reach")
+    # the rest is small; its components are closed each in one task
+    parts = scratch.save(_in_one_task(order.rest, _local_components, "parent long, child long, component long"), "components")
+    tasks = max(1, min(partitions(spark), count_rows(parts) // 2_000))
+    reach = parts.repartition(tasks, "component").mapInArrow(lambda batches: _held(batches, _local_reach), "ancestor long, via long")
+    reach = scratch.save(reach, "reach")
     through = reach.join(pending.withColumnRenamed("node", "via"), "via").select(F.col("ancestor").alias("node"), "member")
     own = reach.where("ancestor <> via").select(F.col("ancestor").alias("node"), F.col("via").alias("member"))
-    pairs = pending.union(through).union(own)
-    for d in done:
-        pairs = pairs.union(d)
-    pairs = pairs.distinct()
-    # circles stand for all their files, on either side, and hold their own
-    members_of = ring.select(F.col("circle").alias("member"), F.col("node").alias("one"))
-    holders_of = ring.select(F.col("circle").alias("node"), F.col("node").alias("holder"))
-    inside = ring.select(F.col("circle").alias("node"), F.col("circle").alias("member")).distinct()
-    open_ = pairs.union(inside).join(members_of, "member", "left").select("node", F.coalesce("one", "member").alias("member_id"))
-    return open_.join(holders_of, "node", "left").select(F.coalesce("holder", "node").alias("file_id"), "member_id")
+    return Closure(ring, [*done, pending.union(through).union(own).distinct()])
+
+
+def descendants(members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(file_id, member_id): every file with all files below it, at any depth.
+
+    The files of a circle stand as one, named by its least file, on either side:
+    who is in which circle is told by ``circles``, and a ring is not opened into
+    all its pairs.
+    """
+    return closure(members, local_edges).pairs()
+
+
+def subtree_sizes(members: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(file_id, n_members) of every file that holds any; see ``Closure.sizes``."""
+    return closure(members, local_edges).sizes()
 
 
 # -- paths -----------------------------------------------------------------------

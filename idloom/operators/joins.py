@@ -11,6 +11,8 @@ from idloom.session import Scratch
 HOT_SHARE = 1 / 64
 #: Keys a sketch tracks: enough to be sure of all that hold ``HOT_SHARE``.
 TRACKED = 4096
+#: Parts into which the rows of a hot key are spread.
+SPREAD = 16
 
 
 def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
@@ -40,6 +42,22 @@ def lookup(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "left"
     return warm.unionByName(big.where(~is_hot).join(unique, keys, how))
 
 
+def spread_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two tables that may both have many rows a key.
+
+    Rows of ``a`` with a hot key (``hot_hashes`` of either side) are spread over
+    ``SPREAD`` parts by their other columns, and those of ``b`` repeated for each
+    part, so that no task has all pairs of a key. Key types must be the same.
+    """
+    hot = sorted({*hot_hashes(a, keys), *hot_hashes(b, keys)})
+    if not hot:
+        return a.join(b, keys)
+    mark = F.xxhash64(*keys).isin(hot)
+    parts = F.when(mark, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    spread = a.withColumn("_part", F.when(mark, F.pmod(F.xxhash64(*a.columns), F.lit(SPREAD))).otherwise(F.lit(0)).cast("int"))
+    return spread.join(b.withColumn("_part", F.explode(parts)), [*keys, "_part"]).drop("_part")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """Dense numbers in the order given, without one task seeing all rows.
 

@@ -245,7 +245,7 @@ def layout(rows: int, least: int, remainder_bits: int, keys_per_bucket: int) ->
     return bucket_bits, min(64 - bucket_bits, ceil(log2(per_bucket / MAX_LOAD)) + remainder_bits)
 
 
-def false_seen_rate(keys: int, total_bits: int) -> float:
+def false_seen_rate(keys: float, total_bits: int) -> float:
     """Chance that a new key meets the fingerprint of one of ``keys`` others."""
     return -float(np.expm1(keys * np.log1p(-(2.0**-total_bits)))) if total_bits else 1.0
 
@@ -261,31 +261,39 @@ def exact_seen(observations: DataFrame, stored: DataFrame) -> DataFrame:
     return obs.drop("stored").join(keys, names).select("obs_id", (F.col("in_base") | (F.col("obs_id") > F.col("first_id"))).alias("seen"))
 
 
+def _distinct_keys(df: DataFrame) -> int:
+    parts, ok = complete_key()
+    return count_rows(df.where(ok).select(*[p.alias(f"k{i}") for i, p in enumerate(parts)]).distinct())
+
+
 def error_report(observations: DataFrame, stored: DataFrame, remainder_bits: tuple[int, ...] = (4, 8, 12, 32)) -> DataFrame:
     """Wrong answers by remainder length: counted against whole keys, and derived.
 
-    The derived rate weights the chance for all keys by one half, as a new key
-    meets on average half of the later filter.
+    Only a new key can get a wrong answer, so both rates are by new key.  It
+    meets all different stored keys and, on average, half of the other new ones.
     """
     spark = observations.sparkSession
     rows = count_rows(observations) + count_rows(stored)
     # compared with several filters, so written once
     exact = Scratch(spark).save(exact_seen(observations, stored), "exact")
+    old, new = _distinct_keys(stored), count_rows(exact.where(~F.col("seen")))
     parts = []
     for r in remainder_bits:
         bucket_bits, fp_bits = layout(rows, partitions(spark), r, 1_000_000)
         total = bucket_bits + fp_bits
         both = seen_before(observations, stored, remainder_bits=r).withColumnRenamed("seen", "said").join(exact, "obs_id")
+        false = F.count_if(F.col("said") & ~F.col("seen"))
         parts.append(
             both.agg(
                 F.lit(r).alias("remainder_bits"),
                 F.lit(total).alias("fingerprint_bits"),
                 F.count("*").alias("answers"),
+                F.lit(old).cast("long").alias("stored_keys"),
                 F.count_if(~F.col("seen")).alias("new_keys"),
-                F.count_if(F.col("said") & ~F.col("seen")).alias("false_seen"),
+                false.alias("false_seen"),
                 F.count_if(~F.col("said") & F.col("seen")).alias("false_new"),
-                F.coalesce(F.count_if(F.col("said") != F.col("seen")) / F.count("*"), F.lit(0.0)).alias("measured_rate"),
-                F.lit(false_seen_rate(rows // 2, total)).alias("derived_rate_new"),
+                F.coalesce(false / F.nullif(F.count_if(~F.col("seen")), F.lit(0)), F.lit(0.0)).alias("measured_rate_new"),
+                F.lit(false_seen_rate(old + max(0, new - 1) / 2, total)).alias("derived_rate_new"),
             )
         )
     out = parts[0]

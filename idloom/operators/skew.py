@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from idloom.operators.joins import lookup, spread_join
 from idloom.session import count_rows
 
 
@@ -21,6 +22,17 @@ def key_states(df: DataFrame, key: str | Column, by: dict[str, Column] | None =
     return rows.groupBy("key", *by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"v_{n}").alias(n) for n in sums or {}])
 
 
+def _spread_join(a: DataFrame, b: DataFrame, many_a: bool, many_b: bool) -> DataFrame:
+    """States joined by key.  A key with many states on one side is hot there: if the
+    other side has one state a key, that is broadcast (``lookup``); if both may
+    have many, the first side's are spread and the other's repeated for each part."""
+    if not many_a and not many_b:
+        return a.join(b, "key")
+    if not (many_a and many_b):
+        return lookup(a, b, ["key"], "inner") if many_a else lookup(b, a, ["key"], "inner")
+    return spread_join(a, b, ["key"])
+
+
 def eager_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_by: dict[str, Column] | None = None, right_by: dict[str, Column] | None = None, left_sums: dict[str, Column] | None = None, right_sums: dict[str, Column] | None = None, how: str = "inner") -> DataFrame:
     """What ``left JOIN right ON left_key = right_key GROUP BY left_by, right_by`` gives.
 
@@ -29,13 +41,14 @@ def eager_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     right count and the other way round.  With ``how="full"`` keys of one side
     stay, the other side counting 0.  A null key joins nothing and, in a full
     join, is left out.  Without ``left_by`` and ``right_by`` the result has one
-    row for each key (``key``).  Names in the tables do not clash: only the
-    expressions given are carried.
+    row for each key (``key``).  With ``left_by`` or ``right_by`` a hot key has many
+    states; they are spread over tasks.  Names in the tables do not clash: only
+    the expressions given are carried.
     """
     left_by, right_by, left_sums, right_sums = left_by or {}, right_by or {}, left_sums or {}, right_sums or {}
     a = key_states(left.where(F.col(left_key).isNotNull()), left_key, left_by, left_sums).withColumnRenamed("n", "left_n")
     b = key_states(right.where(F.col(right_key).isNotNull()), right_key, right_by, right_sums).withColumnRenamed("n", "right_n")
-    j = a.join(b, "key", "full" if how == "full" else "inner").fillna(0, ["left_n", "right_n"])
+    j = (a.join(b, "key", "full") if how == "full" else _spread_join(a, b, bool(left_by), bool(right_by))).fillna(0, ["left_n", "right_n"])
     j = j.select("key", *left_by, *right_by, "left_n", "right_n", (F.col("left_n") * F.col("right_n")).alias("pairs"), *[(F.col(n) * F.col("right_n")).alias(n) for n in left_sums], *[(F.col(n) * F.col("left_n")).alias(n) for n in right_sums])
     groups = [*left_by, *right_by]
     if not groups:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from idloom.functions.hashes import WHITE
 from idloom.operators import hierarchy, seen, shred, skew, wide
-from idloom.session import table
+from idloom.session import count_rows, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,19 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return p1_descendants(spark, d).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_members"))
+    return hierarchy.subtree_sizes(table(spark, d, "ufid_archive_member"))
+
+
+def p1_circles(spark: SparkSession, d: str) -> DataFrame:
+    """Files of circles, and which circle: its least file."""
+    return hierarchy.circles(hierarchy.links_of(table(spark, d, "ufid_archive_member"))).select(F.col("node").alias("file_id"), F.col("circle").alias("circle_id"))
+
+
+def p1_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes as of ``p1_subtree_sizes``, with an eighth of the rows at most left to
+    single tasks, so that small tables go through distributed rounds as well."""
+    members = table(spark, d, "ufid_archive_member")
+    return hierarchy.subtree_sizes(members, min(hierarchy.LOCAL_EDGES, count_rows(members) // 8))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +54,14 @@ def p2_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(table(spark, d, "file_observation"), table(spark, d, "ufid_file"))
 
 
+def p2_error_check(spark: SparkSession, d: str) -> DataFrame:
+    """The error rates without figures that depend on the hash: whether false answers
+    are as many as derived, within six deviations."""
+    r = p2_error_rates(spark, d)
+    expected = F.col("derived_rate_new") * F.col("new_keys")
+    return r.select("remainder_bits", "answers", "stored_keys", "new_keys", "false_new", (F.abs(F.col("false_seen") - expected) <= 6 * F.sqrt(expected) + 1).alias("as_derived"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(table(spark, d, "ufid_archive_member"), "parent_file_id", "child_file_id").select("field", "file_id")
 
@@ -124,11 +144,14 @@ _PARTNERS = "SELECT {a}, count(*) AS n_rows, count(DISTINCT {b}) AS {n} FROM ufi
 
 _EDGES = "SELECT DISTINCT parent_file_id AS p, child_file_id AS c FROM ufid_archive_member WHERE parent_file_id IS NOT NULL AND child_file_id IS NOT NULL"
 _REACH = f"WITH RECURSIVE e AS MATERIALIZED ({_EDGES}), r(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM r JOIN e ON r.b = e.p)"
+_CLASSES = ", scc AS (SELECT x.a AS node, min(x.b) AS circle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
 
 SQL = {
     "p1_found": _REACH + " SELECT a AS file_id FROM r WHERE a = b",
-    "p1_descendants": _REACH + " SELECT a AS file_id, b AS member_id FROM r",
+    "p1_descendants": _REACH + _CLASSES + " SELECT DISTINCT coalesce(p.circle, a) AS file_id, coalesce(q.circle, b) AS member_id FROM r LEFT JOIN scc p ON p.node = a LEFT JOIN scc q ON q.node = b WHERE coalesce(p.circle, a) <> coalesce(q.circle, b)",
+    "p1_circles": _REACH + _CLASSES + " SELECT node AS file_id, circle AS circle_id FROM scc",
     "p1_subtree_sizes": _REACH + " SELECT a AS file_id, count(*) AS n_members FROM r GROUP BY a",
+    "p1_rounds": _REACH + " SELECT a AS file_id, count(*) AS n_members FROM r GROUP BY a",
     "p1_depths": _REACH
     + """, ring AS MATERIALIZED (SELECT a FROM r WHERE a = b), g AS MATERIALIZED (SELECT * FROM e WHERE c NOT IN (SELECT a FROM ring)),
  n AS (SELECT p AS node FROM e UNION SELECT c FROM e), w(node, depth, root) AS (SELECT node, 0, node FROM n WHERE node NOT IN (SELECT c FROM g) UNION SELECT g.c, depth + 1, root FROM w JOIN g ON w.node = g.p),
@@ -143,6 +166,7 @@ SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN nod
 SELECT node AS file_id, node IN (SELECT a FROM ring) AS in_circle, CASE WHEN node NOT IN (SELECT a FROM ring) THEN any_value(m[1]) END AS depth, CASE WHEN node NOT IN (SELECT a FROM ring) THEN any_value(m[2]) END AS root_file_id, CASE WHEN node NOT IN (SELECT a FROM ring) THEN min(full_path) END AS full_path FROM b JOIN f USING (node) GROUP BY node""",
     "p2_found": _SEEN + "SELECT obs_id FROM s WHERE seen",
     "p2_seen": _SEEN + "SELECT obs_id, seen FROM s",
+    "p2_error_check": _SEEN + "SELECT unnest([4, 8, 12, 32])::INT AS remainder_bits, (SELECT count(*) FROM s) AS answers, (SELECT count(*) FROM f) AS stored_keys, (SELECT count(*) FROM s WHERE NOT seen) AS new_keys, 0::BIGINT AS false_new, true AS as_derived",
     "p4_found": "WITH t AS (SELECT count(*) AS n FROM ufid_archive_member), "
     + " UNION ALL ".join(f"{a}SELECT '{c}' AS field, {c} AS file_id FROM ufid_archive_member WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= 0.03 * (SELECT n FROM t)" for a, c in (("x AS (", "parent_file_id"), ("", "child_file_id")))
     + ") SELECT * FROM x",
@@ -227,4 +251,4 @@ SQL["p6_found"] = _CELLS + "SELECT file_id, attribute, CASE WHEN n = 0 THEN 'unr
 _WIDE = {"number": "track_count page_count width_px height_px sector_count volume_number duration_seconds bitrate_kbps", "date": "release_date dumped_at modified_at scanned_on", "txt": "filename title creator publisher platform description comment content_type source ia_identifier ia_item_url alias"}
 SQL["p6_wide"] = _CELLS + "SELECT file_id, " + ", ".join(f"any_value({ {'number': 'num', 'date': 'day'}.get(k, k)}) FILTER (attribute = '{a}') AS {a}" for k, v in _WIDE.items() for a in v.split()) + " FROM s GROUP BY file_id"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p1_subtree_sizes, p2_found, p2_seen, p2_error_rates, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p5_found, p5_items, p5_files, p5_reviews, p5_replies, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_depths, p1_descendants, p1_subtree_sizes, p1_circles, p1_rounds, p2_found, p2_seen, p2_error_rates, p2_error_check, p4_found, p4_members_per_archive, p4_archives_per_file, p4_second_level, p5_found, p5_items, p5_files, p5_reviews, p5_replies, p6_found, p6_wide)}

@@ -76,9 +76,12 @@ def test_circles_descendants_and_paths(spark, local):
     assert len(got) == len({r.node for r in got})
     for r in got:
         assert r.circle == min(x for x in reach[r.node] if r.node in reach[x])
+    of = {r.node: r.circle for r in got}
     pairs = [tuple(r) for r in h.descendants(df, local).collect()]
     assert len(pairs) == len(set(pairs))
-    assert set(pairs) == {(a, b) for a, x in reach.items() for b in x}
+    assert set(pairs) == {(of.get(a, a), of.get(b, b)) for a, x in reach.items() for b in x if of.get(a, a) != of.get(b, b)}
+    sizes = [tuple(r) for r in h.subtree_sizes(df, local).collect()]
+    assert sorted(sizes) == sorted((a, len(x)) for a, x in reach.items() if x)
     rows = {r.file_id: (r.in_circle, r.depth, r.root_file_id, r.full_path) for r in h.hierarchy(df, local).collect()}
     assert rows == _paths(edges)
 
@@ -91,6 +94,21 @@ def test_hot_parent_without_circles(spark):
     assert h.circles(h.edges_of(df), 20).count() == 0
 
 
+def test_a_ring_is_not_opened(spark):
+    n = 400
+    df = _df(spark, [(i, (i + 1) % n, "r") for i in range(n)] + [(3, 1000, "below"), (2000, 5, "above")])
+    assert {tuple(r) for r in h.descendants(df).collect()} == {(0, 1000), (2000, 0), (2000, 1000)}
+    sizes = dict(map(tuple, h.subtree_sizes(df).collect()))
+    assert sizes[2000] == n + 1 and {sizes[i] for i in range(n)} == {n + 1} and len(sizes) == n + 1
+
+
+def test_a_child_with_many_parents_and_many_members(spark):
+    edges = [(i, 0, "in") for i in range(5000, 5200)] + [(0, i, "m") for i in range(1, 3000)]
+    for local in (0, 10**6):
+        pairs = h.descendants(_df(spark, edges), local)
+        assert pairs.count() == 2999 + 200 * 3000 and pairs.distinct().count() == pairs.count()
+
+
 def test_empty_and_null_only(spark):
     for edges in ([], [(1, None, "a"), (None, 2, None)]):
         df = _df(spark, edges)

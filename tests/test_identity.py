@@ -108,7 +108,7 @@ def test_ancestors_local_and_distributed_agree(spark):
     m = spark.createDataFrame([(i, p, c, "x") for i, (p, c) in enumerate(edges)], "id long, parent_file_id long, child_file_id long, archive_path string")
     f = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 10, 99)], "id long")
     a = {tuple(r) for r in provenance.ancestors(f, m, 9).collect()}
-    b = {tuple(r) for r in provenance.ancestors(f, m, 9, local_up=0).collect()}
+    b = {tuple(r) for r in provenance.ancestors(f, m, 9, local_rows=0).collect()}
     assert a == b and (4, 1, 2) in a and (4, 1, 3) in a and (99, 99, 0) in a and (4, 10, 8) in a and max(r[2] for r in a) == 9
     meta = spark.createDataFrame([(1, 1, "text", "ia_identifier", "top", None, None), (2, 3, "text", "ia_identifier", "low", None, None), (3, 2, "text", "source", "s ", None, None)], META)
     got = {r.file_id: (r.source_file_id, r.ia_identifier) for r in provenance.record_origin(f.where("id < 5"), m.where("id < 4"), meta).collect()}
@@ -234,3 +234,23 @@ def test_match_records_and_pages(spark):
     assert bare.file.source is None and bare.file.record is None and bare.file.display_name is None
     assert al.match_page(al.match_rows(stored, alerts, files, meta, members), 200, 1).count() == 0
     assert "fingerprint" not in al.alert_records(alerts).columns and al.given_values([" a", "", "a", "b"]) == ["a", "b"]
+
+
+@pytest.mark.parametrize("local", [0, 10**7])
+def test_top_ancestors(spark, local):
+    r = random.Random(2)
+    edges = [(r.randrange(30), r.randrange(30)) for _ in range(40)]
+    m = spark.createDataFrame([(i, p, c, None) for i, (p, c) in enumerate(edges)], "id long, parent_file_id long, child_file_id long, archive_path string")
+    f = spark.createDataFrame([(i,) for i in range(32)] + [(None,), (3,)], "id long")
+    rank = {i: r.randrange(1000) for i in range(0, 32, 3)}
+    targets = spark.createDataFrame(list(rank.items()), "id long, rank long")
+    want = {}
+    for i in range(32):
+        level, best = {i}, None
+        for depth in range(8):
+            hits = [(rank[x], x) for x in level if x in rank]
+            best = min(hits)[1] if hits else best
+            level = {p for p, c in edges if c in level}
+        if best is not None:
+            want[i] = best
+    assert dict(map(tuple, provenance.top_ancestors(f, m, targets, 7, local).collect())) == want

@@ -89,9 +89,11 @@ def test_empty_tables(spark):
 def test_errors_follow_the_derived_rate(spark):
     n = 4000
     h = lambda k: (k, f"{k:08x}", f"{k:032x}", f"{k:040x}")
-    o = spark.createDataFrame([(i, *h(i), None) for i in range(n)], OBS)
-    rows = {r.remainder_bits: r for r in seen.error_report(o, spark.createDataFrame([], FILE), (1, 6, 32)).collect()}
-    assert rows[32].false_seen == 0 and all(r.false_new == 0 for r in rows.values())
+    o = spark.createDataFrame([(i, *h(i % 3000), None) for i in range(n)], OBS)
+    f = spark.createDataFrame([(i, *h(10_000 + i)) for i in range(2000)] + [(9999, *h(10_000))], FILE)
+    rows = {r.remainder_bits: r for r in seen.error_report(o, f, (1, 6, 32)).collect()}
+    assert rows[32].false_seen == 0 and all(r.false_new == 0 and (r.new_keys, r.stored_keys) == (3000, 2000) for r in rows.values())
+    for r in (rows[1], rows[6]):
+        want = r.derived_rate_new * r.new_keys
+        assert abs(r.false_seen - want) <= 5 * want**0.5 + 1 and r.measured_rate_new == r.false_seen / r.new_keys
     assert rows[1].false_seen > rows[6].false_seen > 0
-    for b in (1, 6):
-        assert 0.5 < (rows[b].false_seen / n) / rows[b].derived_rate_new < 2

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from idloom.operators import joins, skew
@@ -18,6 +19,17 @@ def test_eager_join_equals_join_then_group(spark):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, plain.select(cols).collect()))
 
 
+@pytest.mark.parametrize("by", [(True, False), (False, True), (True, True)])
+def test_eager_join_with_many_states_of_a_hot_key(spark, by):
+    a = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k int, g int")
+    b = spark.createDataFrame([(1 if i % 2 else i, i % 1500) for i in range(3000)], "k int, g int")
+    lb, rb = {"lg": F.col("g") % 1200} if by[0] else None, {"rg": F.col("g") % 1100} if by[1] else None
+    got = skew.eager_join(a, b, "k", "k", lb, rb)
+    keys = [c for c in ("lg", "rg") if c in got.columns]
+    plain = a.select("k", (F.col("g") % 1200).alias("lg")).join(b.select("k", (F.col("g") % 1100).alias("rg")), "k").groupBy(*keys).agg(F.count("*").alias("pairs"))
+    assert got.select(*keys, "pairs").exceptAll(plain).count() == 0 and got.count() == plain.count()
+
+
 def test_heavy_keys(spark):
     rows = [(1, i) for i in range(50)] + [(i, 2) for i in range(3, 50)] + [(None, None)] * 3
     df = spark.createDataFrame(rows, "p long, c long")
