@@ -7,8 +7,13 @@ by cosine.
 
 As sums are linear, a text's product with a prototype is the sum of its
 trigrams' products with it: these are computed once for each trigram, and a
-text's vector is never built.  Its length is taken from its trigram counts,
-trigram vectors being nearly orthogonal.
+text's vector is never built.  Trigram vectors being nearly orthogonal, the
+square of its length is the sum of its squared trigram counts, which is
+estimated from counts of hashed trigrams.
+
+A text far from all prototypes has no language.  The confidence of a language
+is the share of right answers among held-out texts at that distance between the
+best and the second language, less where the best cosine itself is untypical.
 """
 
 from __future__ import annotations
@@ -129,6 +134,23 @@ MIN_WORDS, MIN_LETTERS = 5, 16
 NEIGHBOUR = 0.25
 
 
+#: Slots of a unit's table of hashed trigrams, for its length.
+SLOTS = 256
+SLOT_OF = np.random.default_rng(17).integers(0, SLOTS, SYMBOLS**3, dtype=np.uint8)
+#: Of the cosines of sample units, the low share below which none is typical, and
+#: the part of the very lowest (one in a thousand) below which a unit has no language.
+TYPICAL, LOWEST, FLOOR = 0.01, 0.001, 0.35
+
+
+def squared_lengths(grams: np.ndarray, unit: np.ndarray, n_units: int) -> np.ndarray:
+    """Sums of squared trigram counts of each unit, by counts of slots: what
+    different trigrams of one slot add on average is taken off again."""
+    c = np.bincount(unit * SLOTS + SLOT_OF[grams], minlength=n_units * SLOTS).reshape(n_units, SLOTS)
+    n = c.sum(axis=1, dtype=np.float64)
+    f2 = np.einsum("ij,ij->i", c, c, dtype=np.float64)
+    return np.maximum((SLOTS * f2 - n * n) / (SLOTS - 1), n)
+
+
 class Profiles:
     """Products of known trigrams with the prototypes, small enough to send along."""
 
@@ -146,24 +168,43 @@ class Profiles:
         self.row = np.zeros(SYMBOLS**3, np.int32)
         self.row[grams] = np.arange(1, len(grams) + 1)
         self.score = np.concatenate([np.zeros((1, len(counts))), score / np.sqrt(dim)]).astype(np.float32)
+        self.floor, self.typical = 0.0, 0.0
+        #: distances of the two best cosines, and the share of right answers there
+        self.right = (np.array([0.0, 1.0]), np.array([1 / len(LANGS), 1.0]))
 
     def units(self, st: Stream) -> tuple[np.ndarray, np.ndarray]:
         """Cosine of each unit with each language, and whether the unit is prose.
 
         A unit's score takes in a part of its neighbours' in the same text.
         """
-        rows = self.row[st.grams]
-        total = np.zeros((st.n_units, self.score.shape[1]))
-        for k in range(self.score.shape[1]):
-            total[:, k] = np.bincount(st.gram_unit, weights=self.score[rows, k], minlength=st.n_units)
+        total, square = self._sums(st.grams, st.gram_unit, st.n_units)
         prose = (st.words >= MIN_WORDS) & (st.letters >= MIN_LETTERS)
         total[~prose] = 0
         same = st.unit_doc[1:] == st.unit_doc[:-1]
         mixed = total.copy()
         mixed[1:][same] += NEIGHBOUR * total[:-1][same]
         mixed[:-1][same] += NEIGHBOUR * total[1:][same]
-        n = np.bincount(st.gram_unit, minlength=st.n_units)
-        return mixed / np.sqrt(np.maximum(n, 1))[:, None], prose
+        square = np.where(prose, square, 0.0)
+        length = square.copy()
+        length[1:][same] += NEIGHBOUR**2 * square[:-1][same]
+        length[:-1][same] += NEIGHBOUR**2 * square[1:][same]
+        return mixed / np.sqrt(np.maximum(length, 1.0))[:, None], prose
+
+    def _sums(self, grams: np.ndarray, unit: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray]:
+        """Products of each unit's vector with the prototypes, and its squared length."""
+        rows = self.row[grams]
+        total = np.zeros((n_units, self.score.shape[1]))
+        for k in range(self.score.shape[1]):
+            total[:, k] = np.bincount(unit, weights=self.score[rows, k], minlength=n_units)
+        return total, squared_lengths(grams, unit, n_units)
+
+    def language(self, score: np.ndarray, prose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(units with a language, which, confidence): prose not below the floor."""
+        top = np.sort(score, axis=1)
+        u = np.flatnonzero(prose & (top[:, -1] >= self.floor))
+        best, second = top[u, -1], top[u, -2]
+        sure = np.interp(best - second, *self.right) * np.clip(best / max(self.typical, 1e-9), 0, 1)
+        return u, score[u].argmax(axis=1), sure
 
     def whole(self, st: Stream, score: np.ndarray, prose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same with each text that has no prose unit as one unit of its short ones."""
@@ -173,10 +214,8 @@ class Profiles:
         if not short.any():
             return score, prose
         use = short[st.gram_unit]
-        doc = st.unit_doc[st.gram_unit[use]]
-        rows = self.row[st.grams[use]]
-        total = np.stack([np.bincount(doc, weights=self.score[rows, k], minlength=st.n_docs) for k in range(self.score.shape[1])], axis=1)
-        total /= np.sqrt(np.maximum(np.bincount(doc, minlength=st.n_docs), 1))[:, None]
+        total, square = self._sums(st.grams[use], st.unit_doc[st.gram_unit[use]], st.n_docs)
+        total /= np.sqrt(np.maximum(square, 1.0))[:, None]
         # without a known trigram nothing is known
         short &= (total.max(axis=1) > 0)[st.unit_doc]
         return np.where(short[:, None], total[st.unit_doc], score), prose | short
@@ -206,15 +245,27 @@ def sample_of(documents: DataFrame, per_language: int) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
-def fit(sample: list[tuple[str, str]], rounds: int = 2, dim: int = 4096, seed: int = 11) -> Profiles:
+def fit(sample: list[tuple[str, str]], rounds: int = 2, dim: int = 4096, seed: int = 11, calibrate: bool = False) -> Profiles:
     """Prototypes from labelled texts; then units are relabelled by them and the
-    prototypes made again, as labels may be wrong and texts mixed."""
+    prototypes made again, as labels may be wrong and texts mixed.  With
+    ``calibrate`` every fifth text is held out once to measure the confidence."""
+    profiles, st, score, prose = _fitted(sample, rounds, dim, seed)
+    if prose.any():
+        tops = score[prose].max(axis=1)
+        profiles.typical, profiles.floor = float(np.quantile(tops, TYPICAL)), FLOOR * max(0.0, float(np.quantile(tops, LOWEST)))
+    if calibrate:
+        held = [x for i, x in enumerate(sample) if i % 5 == 0]
+        part = _fitted([x for i, x in enumerate(sample) if i % 5], min(rounds, 1), dim, seed)[0]
+        profiles.right = _right_share(part, held)
+    return profiles
+
+
+def _fitted(sample: list[tuple[str, str]], rounds: int, dim: int, seed: int) -> tuple[Profiles, Stream, np.ndarray, np.ndarray]:
     st = Stream([t for _, t in sample] or [""])
     grams, col = np.unique(st.grams, return_inverse=True)
     code = np.array([LANGS.index(c) for c, _ in sample] or [0])
     unit_lang = code[st.unit_doc] if sample else np.zeros(st.n_units, np.int64)
     prose = (st.words >= MIN_WORDS) & (st.letters >= MIN_LETTERS)
-    profiles = None
     for _ in range(rounds + 1):
         counts = np.zeros((len(LANGS), len(grams)))
         use = prose[st.gram_unit]
@@ -222,18 +273,35 @@ def fit(sample: list[tuple[str, str]], rounds: int = 2, dim: int = 4096, seed: i
         profiles = Profiles(counts, grams, dim, seed)
         score, prose = profiles.units(st)
         unit_lang = score.argmax(axis=1)
-    return profiles
+    return profiles, st, score, prose
+
+
+def _right_share(profiles: Profiles, held: list[tuple[str, str]], bins: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Share of right answers by the distance of the two best cosines, rising, over
+    units of held-out texts whose label their whole text confirms."""
+    st = Stream([t for _, t in held] or [""])
+    score, prose = profiles.units(st)
+    code = np.array([LANGS.index(c) for c, _ in held] or [0])
+    whole = np.stack([np.bincount(st.unit_doc, weights=np.where(prose, score[:, k], 0), minlength=st.n_docs) for k in range(len(LANGS))], axis=1)
+    u = np.flatnonzero(prose & (whole.argmax(axis=1) == code)[st.unit_doc])
+    x0, y0 = [0.0], [1 / len(LANGS)]
+    if held and len(u):
+        top = np.sort(score[u], axis=1)
+        x, ok = top[:, -1] - top[:, -2], score[u].argmax(axis=1) == code[st.unit_doc[u]]
+        order = np.argsort(x, kind="stable")
+        for part in np.array_split(order, min(bins, len(order))):
+            x0.append(float(x[part].mean()))
+            y0.append((float(ok[part].sum()) + 0.5) / (len(part) + 1))
+    return np.maximum.accumulate(np.array(x0)), np.maximum.accumulate(np.array(y0))
 
 
 def segments(profiles: Profiles, ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    """Runs of prose units of one language: place in the text, letters, confidence."""
+    """Runs of prose units of one language: place in the text, letters, confidence.
+    Units below the floor have no language and end no run."""
     st = Stream(texts)
     score, prose = profiles.whole(st, *profiles.units(st))
-    u = np.flatnonzero(prose)
-    lang, doc = score[u].argmax(axis=1), st.unit_doc[u]
-    top = np.sort(score[u], axis=1)
-    # margin of the best over the second cosine, by the best
-    sure = np.clip((top[:, -1] - top[:, -2]) / np.maximum(top[:, -1], 1e-6), 0, 1) if len(u) else np.zeros(0)
+    u, lang, sure = profiles.language(score, prose)
+    doc = st.unit_doc[u]
     new = np.ones(len(u), bool)
     new[1:] = (lang[1:] != lang[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
@@ -272,7 +340,8 @@ def language_segments(documents: DataFrame, profiles: Profiles, chunk_chars: int
 
 def document_languages(documents: DataFrame, profiles: Profiles, chunk_chars: int = 1_500_000) -> DataFrame:
     """(doc_id, label, langs): a text's languages with share and confidence, the
-    largest first, made in the task that reads it; a text without letters has none.
+    largest first, made in the task that reads it; a text without letters, or one
+    far from all languages, has none.
 
     Null ids are left out, a null text counts as empty, repeated rows stay rows.
     """

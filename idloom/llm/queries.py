@@ -70,13 +70,13 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 SAMPLE = 300
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, calibrate: bool = True) -> DataFrame:
     docs = table(spark, d, "documents")
-    return langid.document_languages(docs, langid.fit(langid.sample_of(docs, SAMPLE)))
+    return langid.document_languages(docs, langid.fit(langid.sample_of(docs, SAMPLE), calibrate=calibrate))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.mislabelled(_languages(spark, d)).select("doc_id", "lang")
+    return langid.mislabelled(_languages(spark, d, calibrate=False)).select("doc_id", "lang")
 
 
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,7 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return langid.language_segments(docs, langid.fit(langid.sample_of(docs, SAMPLE)))
+    return langid.language_segments(docs, langid.fit(langid.sample_of(docs, SAMPLE), calibrate=True))
 
 
 SQL: dict[str, str] = {}

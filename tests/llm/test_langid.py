@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from idloom.llm import langid as l
@@ -106,3 +107,37 @@ def test_empty(spark):
     assert l.document_languages(df, p).collect() == [] and l.language_segments(df, p).collect() == []
     one = spark.createDataFrame([(1, "Some text without any profile at all.", None, 0, "")], SCHEMA)
     assert l.document_languages(one, p).count() == 1
+
+
+def test_length_is_near_the_bundled_vectors():
+    r = np.random.default_rng(1)
+    for n, kinds in ((20, 500), (300, 200), (3000, 900)):
+        grams = r.integers(0, kinds, n)
+        want = float((np.bincount(grams) ** 2).sum())
+        [got] = l.squared_lengths(grams, np.zeros(n, np.int64), 1)
+        assert n <= got and abs(got - want) <= 0.2 * want
+        vectors = l.trigram_vectors(grams, l.letter_vectors(4096, 3)).astype(np.int64).sum(axis=0)
+        assert abs((vectors**2).sum() / 4096 - want) <= 0.3 * want
+    assert l.squared_lengths(np.zeros(0, np.int64), np.zeros(0, np.int64), 2).tolist() == [0, 0]
+
+
+def test_texts_far_from_all_languages_have_none():
+    r = random.Random(5)
+    p = l.fit([(lang, _text(r, lang)) for lang in l.LANGS for _ in range(40)], calibrate=True)
+    texts = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。", _text(r, "it")]
+    got = l.segments(p, list(range(4)), texts).to_pylist()
+    known = [s for s in got if s["doc_id"] == 3]
+    assert {s["lang"] for s in known} == {"it"} and min(s["confidence"] for s in known) > 0.8
+    assert all(s["confidence"] < 0.4 for s in got if s["doc_id"] < 3) and not any(s["doc_id"] == 2 for s in got)
+
+
+def test_confidence_is_the_share_of_right_answers():
+    r = random.Random(6)
+    noisy = lambda lang: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() and r.random() < 0.35 else c for c in _text(r, lang))
+    p = l.fit([(lang, noisy(lang)) for lang in l.LANGS for _ in range(60)], calibrate=True)
+    test = [(lang, noisy(lang)) for lang in l.LANGS for _ in range(30)]
+    segs = l.segments(p, list(range(len(test))), [t for _, t in test]).to_pylist()
+    right = sum(s["letters"] for s in segs if s["lang"] == test[s["doc_id"]][0]) / sum(s["letters"] for s in segs)
+    said = sum(s["letters"] * s["confidence"] for s in segs) / sum(s["letters"] for s in segs)
+    assert abs(right - said) < 0.1
+    assert (np.diff(p.right[1]) >= 0).all()
