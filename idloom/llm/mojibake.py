@@ -1,14 +1,14 @@
 """Text that was decoded with a wrong character encoding, found and restored.
 
 Adjacent character pairs of the whole corpus are counted into a table of fixed
-size.  A pair is worth its share of the corpus' mutual information; pairs worth
-little are improbable.  In a text the improbable runs are the maximum-scoring
-segments over its pairs, and only inside those are inverse mappings tried: the
-run is encoded as it was shown and decoded as it may have been written.  A run
-is restored if the new text's pairs are worth clearly more than the old ones'.
-
-Replacement characters and C1 controls are signs of a wrong decoding by
-themselves; what they stand for is lost unless a mapping restores it.
+size, larger where it would fill up.  A pair is worth its share of the corpus'
+mutual information; pairs worth little are improbable, and those with a
+replacement character or a C1 control are worth nothing, however many there are.
+In a text the improbable runs are the maximum-scoring segments over its pairs,
+and only inside those are inverse mappings tried: a run, or the stretch from one
+run to another, is encoded as it was shown and decoded as it may have been
+written.  A run is restored if the new text's pairs are worth clearly more than
+the old ones'; one that keeps a replacement character or control is garbled for good.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAIR_BITS, CHAR_BITS = 20, 17
+#: Bits of the tables of pairs, from the least on, and of that of characters.
+PAIR_BITS, CHAR_BITS = (20, 22, 24), 17
+#: Chance that an unseen pair looks like a seen one from which on tables are larger.
+MOST_MIXED = 0.01
 #: Encodings a text may have been shown in, and written in.
 SHOWN = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "iso8859-15", "cp1250", "cp932", "gbk")
 WRITTEN = ("utf-8", "cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866", "cp932", "euc_jp")
@@ -43,7 +46,7 @@ LEAST_PMI = 0.5
 CASE_BREAK, SCRIPT_BREAK = 8.0, 8.0
 LAYERS = 3
 
-BAD = re.compile("[�\x80-\x84\x86-\x9f]")
+BAD = LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 NOT_ASCII = re.compile("[^\x00-\x7f]")
 CHUNK = re.compile("[^ /\n\t]+")
 BEYOND_ASCII = re.compile("[^\x00-\x7f]+")
@@ -68,30 +71,31 @@ def _fold(cp: np.ndarray) -> np.ndarray:
     return np.where(cp < len(FOLD), FOLD[np.minimum(cp, len(FOLD) - 1)], cp)
 
 
-def _pair_keys(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+def _pair_keys(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
     """Two slots a pair: its count is at most the less of both."""
     x = a.astype(np.uint64) << np.uint64(21) | b.astype(np.uint64)
-    return [((x * np.uint64(m)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+    return [((x * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
+def pair_counts(texts: DataFrame, bits: int = PAIR_BITS[0]) -> DataFrame:
     """(kind, slot, n, once): characters (kind 0) and pairs (kinds 1 and 2, one for
     each hash) counted by slot of tables of fixed size, whatever the corpus: ``n``
     over all texts, ``once`` with copies of a text counted once."""
+    pair_bits = bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros((2, 1 << bits), np.int64) for bits in (CHAR_BITS, PAIR_BITS, PAIR_BITS)]
+        tables = [np.zeros((2, 1 << bits), np.int64) for bits in (CHAR_BITS, pair_bits, pair_bits)]
         for b in batches:
             split = [t or "" for t in b.column(0).to_pylist()]
             cp = _fold(_points("\n".join(split) + "\n"))
             copies = np.repeat(b.column(1).to_numpy(), np.fromiter(map(len, split), np.int64, len(split)) + 1)
             before = np.concatenate([[10], cp[:-1]]).astype(np.uint32)
             before[0] = _fold(before[:1])[0]
-            for table, key in zip(tables, (cp & ((1 << CHAR_BITS) - 1), *_pair_keys(before, cp))):
+            for table, key in zip(tables, (cp & ((1 << CHAR_BITS) - 1), *_pair_keys(before, cp, pair_bits))):
                 np.add.at(table[0], key, copies)
                 np.add.at(table[1], key, 1)
         for kind, (n, once) in enumerate(tables):
@@ -117,27 +121,36 @@ class Model:
     """The worth of pairs, and texts restored by it; ``once`` is the model with
     copies of a text counted once, as many make a garbled one probable."""
 
-    def __init__(self, kind=(), slot=(), n=(), once=None):
-        self.once = Model(kind, slot, once) if once is not None else None
+    def __init__(self, kind=(), slot=(), n=(), once=None, bits: int = PAIR_BITS[0]):
+        self.once = Model(kind, slot, once, bits=bits) if once is not None else None
         kind, slot, n = np.asarray(kind, np.int8), np.asarray(slot, np.int64), np.asarray(n, np.float64)
-        self.tables = []
-        for k, bits in enumerate((CHAR_BITS, PAIR_BITS, PAIR_BITS)):
-            self.tables.append(np.zeros(1 << bits, np.float32))
+        self.bits, self.tables = bits, []
+        for k, size in enumerate((CHAR_BITS, bits, bits)):
+            self.tables.append(np.zeros(1 << size, np.float32))
             self.tables[k][slot[kind == k]] = n[kind == k]
         self.total = float(n[kind == 1].sum()) or 1.0
 
+    def mixed(self) -> float:
+        """Chance that a pair that never occurred finds both its slots taken."""
+        return float(np.prod([np.count_nonzero(t) / len(t) for t in self.tables[1:]]))
+
     @classmethod
     def of(cls, texts: DataFrame) -> "Model":
-        """At most 2 * 2**PAIR_BITS + 2**CHAR_BITS rows come to the driver, as Arrow."""
-        got = pair_counts(texts).toArrow()
-        return cls(*(got.column(c).to_numpy() for c in ("kind", "slot", "n", "once")))
+        """The counts of at most 2 * 2**bits + 2**CHAR_BITS slots come to the driver,
+        as Arrow; counted again with larger tables while too many slots are taken."""
+        for bits in PAIR_BITS:
+            got = pair_counts(texts, bits).toArrow()
+            model = cls(*(got.column(c).to_numpy() for c in ("kind", "slot", "n", "once")), bits=bits)
+            if model.mixed() <= MOST_MIXED:
+                return model
+        raise ValueError(f"too many different pairs of characters: {model.mixed():.3f} of unseen ones look like seen ones")
 
     def __getstate__(self):
         used = [np.flatnonzero(t) for t in self.tables]
-        return self.total, [(len(t), at, t[at]) for t, at in zip(self.tables, used)], self.once
+        return self.total, [(len(t), at, t[at]) for t, at in zip(self.tables, used)], self.once, self.bits
 
     def __setstate__(self, state):
-        self.total, self.tables, self.once = state[0], [], state[2]
+        self.total, self.tables, self.once, self.bits = state[0], [], state[2], state[3]
         for size, at, n in state[1]:
             self.tables.append(np.zeros(size, np.float32))
             self.tables[-1][at] = n
@@ -145,8 +158,10 @@ class Model:
     @lru_cache(maxsize=200_000)  # noqa: B019 - one model lives as long as its worker
     def worth(self, a: str, b: str) -> float:
         """Share of the pair in the corpus' mutual information: log(1 + n PMI / million)."""
+        if LOST.match(a) or LOST.match(b):
+            return 0.0
         p = _fold(np.array([ord(a), ord(b)], np.uint32))
-        n = min(float(t[k[0]]) for t, k in zip(self.tables[1:], _pair_keys(p[:1], p[1:])))
+        n = min(float(t[k[0]]) for t, k in zip(self.tables[1:], _pair_keys(p[:1], p[1:], self.bits)))
         if not n:
             return 0.0
         na, nb = (float(self.tables[0][int(c) & ((1 << CHAR_BITS) - 1)]) for c in p)
@@ -168,7 +183,9 @@ class Model:
 
     def runs(self, text: str, weights: list[float]) -> list[tuple[int, int]]:
         """Maximum-scoring segments of the pair weights, as character ranges."""
-        out, stack, acc = [], [], 0.0
+        out: list[tuple[int, int]] = []
+        stack: list[tuple[int, int, float, float]] = []
+        acc = 0.0
         for i, w in enumerate(weights):
             if w > 0:
                 seg = (i, i + 1, acc, acc + w)
@@ -194,8 +211,7 @@ class Model:
     @lru_cache(maxsize=100_000)  # noqa: B019
     def restore(self, chunk: str) -> tuple[str, bool]:
         """The chunk with its runs restored, and whether it was garbled."""
-        garbled = bool(BAD.search(chunk))
-        text = chunk
+        text, garbled = chunk, self.lost(chunk)
         for _ in range(LAYERS):
             new = self._once(text) or (self.once and self.once._once(text)) or (self.once or self)._probable(text)
             if new is None:
@@ -203,22 +219,30 @@ class Model:
             text, garbled = new, True
         return text, garbled
 
+    def lost(self, text: str) -> bool:
+        """Whether an improbable run has a character that stands for something lost."""
+        if not BAD.search(text):
+            return False
+        return any(BAD.search(text, a, b) for a, b in self.runs(text, self.lack(text)[1]))
+
     def _once(self, text: str) -> str | None:
+        if not NOT_ASCII.search(text):
+            return None
         lack, weights = self.lack(text)
-        if lack <= LEAST_GAIN - UTF8_BONUS or not NOT_ASCII.search(text):
+        runs = self.runs(text, weights)
+        if not runs:
             return None
         spans = []
-        for a, b in self.runs(text, weights):
-            # a trail byte may be plain, and a run's edge well supported
+        for a, b in runs:
+            # the characters its pairs touch: a trail byte may be plain
             spans += [(x, y) for x in (a, a - 1) for y in (b, b + 1) if 0 <= x < y <= len(text)]
-        if not spans:
-            return None
-        spans += [(0, len(text))] if spans else []
-        at = 0
-        for part in text.split("\\"):
-            if part and len(part) < len(text) and NOT_ASCII.search(part):
-                spans.append((at, at + len(part)))
-            at += len(part) + 1
+        # from the first run to the last, of the text and of each part between backslashes
+        edges = [0, *(i + 1 for i, c in enumerate(text) if c == "\\"), len(text) + 1]
+        for first, last in [(0, len(text)), *zip(edges, (e - 1 for e in edges[1:]))]:
+            inside = [(a, b) for a, b in runs if first <= a and b <= last]
+            if len(inside) > 1:
+                a, b = inside[0][0], inside[-1][1]
+                spans += [(x, y) for x in (a, max(first, a - 1)) for y in (b, min(last, b + 1))]
         best, best_gain = None, LEAST_GAIN if len(text) > 1 else LEAST_GAIN_ALONE
         for a, b in dict.fromkeys(spans):
             for y, utf8 in candidates(text[a:b]):

@@ -80,3 +80,34 @@ def test_candidates_have_the_original(written, shown):
             continue
         if bad != word and not m.BAD.search(bad):
             assert word in dict(m.candidates(bad))
+
+
+def test_tables_grow_with_the_pairs(spark):
+    r = random.Random(3)
+    rows = [("t", i, "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(60))) for i in range(4000)] + [("t", -1, "Größe der Datei")]
+    df = m.rows_of(spark.createDataFrame(rows, "table_name string, row_id long, text string"), "t", "row_id", "text")
+    small = m.Model(*(m.pair_counts(df.select("text")).toArrow().column(c).to_numpy() for c in ("kind", "slot", "n", "once")))
+    model = m.Model.of(df.select("text"))
+    assert small.mixed() > m.MOST_MIXED >= model.mixed() and model.bits > small.bits
+    # measured: pairs that never occur and yet find both slots taken
+    pairs = [(chr(0x5000 + r.randrange(20_000)), chr(0xAC00 + r.randrange(11_000))) for _ in range(4000)]
+    hits = sum(model.worth(a, b) > 0 for a, b in pairs)
+    assert abs(hits / len(pairs) - model.mixed()) <= 0.02
+    import pickle
+
+    again = pickle.loads(pickle.dumps(model))
+    assert again.bits == model.bits and again.worth("G", "r") == model.worth("G", "r")
+
+
+def test_lost_characters_are_improbable_however_frequent(spark):
+    rows = [("t", i, "caf� au lait") for i in range(3000)] + [("t", 9000, "caf\x81"), ("t", 9001, "plain"), ("t", 9002, "Größe")]
+    df = m.rows_of(spark.createDataFrame(rows, "table_name string, row_id long, text string"), "t", "row_id", "text")
+    got = {r.row_id: r.recovered for r in m.find_garbled(df).collect()}
+    assert set(got) == {*range(3000), 9000} and not any(got.values())
+
+
+def test_mappings_start_and_end_at_runs():
+    one = m.Model()
+    text = "plain-Ã¼ber\\ordner\\fÃ¼r"
+    runs = one.runs(text, one.lack(text)[1])
+    assert all(text[a] >= "\x80" or text[b - 1] >= "\x80" for a, b in runs) and len(runs) >= 1
