@@ -352,7 +352,7 @@ def carried(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     return [tuple(x) for x in out]
 
 
-OUT = "doc_id long, item_id long, item_words int, carried_words int, changed_words int, share double, spans array<struct<first:int,last:int>>"
+OUT = "doc_id long, item_id long, item_words int, carried_words int, changed_words int, share double, spans array<struct<first:int,last:int,words:int>>"
 
 
 def symbols_of(texts: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -411,10 +411,10 @@ def _shard(vocabulary: dict[str, int], blocks: list, least_share: float, most_ch
                 if len(marks) != len(text):
                     marks = [m.span() for m in MARKED.finditer(normal(texts[d]))]
                 for item_id in items.ids[i]:
-                    yield ids[d], item_id, len(item), total, changed, total / len(item), [{"first": marks[x][0], "last": marks[y - 1][1]} for x, y in spans]
+                    yield ids[d], item_id, len(item), total, changed, total / len(item), [{"first": marks[x][0], "last": marks[y - 1][1], "words": y - x} for x, y in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("carried_words", pa.int32()), ("changed_words", pa.int32()), ("share", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("carried_words", pa.int32()), ("changed_words", pa.int32()), ("share", pa.float64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("words", pa.int32())])))])
         known = {**vocabulary, "\0": -1}
         for ids, texts in text_chunks(batches, shard_chars):
             sym, starts = symbols_of(texts, known)
@@ -443,7 +443,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_share: float = 0.5,
     texts that carry at least ``least_share`` of an item's words in one or two
     passages in the item's order, at most ``most_changed`` of them changed or
     lost; case, punctuation and spacing do not matter.  ``spans`` are the
-    passages as character ranges of the text.
+    passages as character ranges of the text, with their words.
 
     All items are searched in all texts: each shard of texts is indexed once and
     blocks of ``block`` passages are searched in it one after another.  The items

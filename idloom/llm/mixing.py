@@ -24,7 +24,8 @@ from idloom.functions.hashes import strip
 from idloom.llm.tokens import TOKENIZER, with_tokens
 
 MAX_PATTERNS = 20_000
-BUCKETS = 4096
+#: Bits of a hash that name a bucket of the token line.
+BUCKET_BITS = 12
 
 
 class Flow:
@@ -116,6 +117,30 @@ def prepared(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return with_tokens(docs, tokenizer)
 
 
+def pooled(documents: DataFrame, tokenizer: str = TOKENIZER, sep: str = "|") -> DataFrame:
+    """(doc_id, pattern, tokens) of different texts: copies are one document, with
+    the least id, and belong to all sources that have one.
+
+    Texts are compared by hash where they are read; only hashes and names move.
+    A pattern has at most as many names as there are sources.
+    """
+    name = F.nullif(source_name(F.col("source")), F.lit(""))
+    docs = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("source"), F.sha2("text", 256).alias("same"), "text")
+    each = with_tokens(docs, tokenizer).groupBy("same", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    return each.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.nullif(F.array_join(F.array_sort(F.collect_set("source")), sep), F.lit("")).alias("pattern"), F.max("tokens").alias("tokens")).select("doc_id", "pattern", "tokens")
+
+
+def mixture_check(docs: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7) -> DataFrame:
+    """(source, routed_tokens, within_a_document, within_repeats): whether a source's
+    tokens are those routed to it up to one document, and no document is used too often."""
+    r, _, _ = plan(docs, targets)
+    longest = docs.agg(F.coalesce(F.max("tokens"), F.lit(0))).first()[0]
+    used = mixture(docs, targets, seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.max("copies").alias("most"))
+    rows = docs.sparkSession.createDataFrame([(s, r.got[s], rep) for s, _, rep in targets], "source string, routed_tokens long, max_repeats int")
+    j = rows.join(used, "source", "left").fillna(0, ["tokens", "most"])
+    return j.select("source", "routed_tokens", (F.abs(F.col("tokens") - F.col("routed_tokens")) <= longest).alias("within_a_document"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def targets_of(targets: DataFrame, most: int = 10_000) -> list[tuple[str, float, int]]:
     rows = targets.select(source_name(F.col("source")), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null and target_share is not null").limit(most + 1).collect()
     if len(rows) > most:
@@ -165,7 +190,7 @@ def mixture(docs: DataFrame, targets: list[tuple[str, float, int]], seed: int =
     # one row for each pattern and source of the bounded routing
     cut = spark.createDataFrame([(p, sums[p], s, a, b) for p, c in cuts.items() for s, a, b in c], kind)
     h = F.xxhash64(F.lit(seed), "doc_id")
-    placed = docs.where("pattern is not null and tokens > 0").select("doc_id", "pattern", "tokens", h.alias("h"), F.shiftright(h, 52).cast("int").alias("bucket"))
+    placed = docs.where("pattern is not null and tokens > 0").select("doc_id", "pattern", "tokens", h.alias("h"), F.shiftright(h, 64 - BUCKET_BITS).cast("int").alias("bucket"))
     size = placed.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("t"))
     before = size.select("pattern", "bucket", (F.sum("t").over(W.partitionBy("pattern").orderBy("bucket")) - F.col("t")).alias("before"))
     inside = F.sum("tokens").over(W.partitionBy("pattern", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1))

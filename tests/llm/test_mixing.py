@@ -70,3 +70,16 @@ def test_tokens_and_empty(spark):
     none = mx.prepared(df.limit(0))
     assert mx.mixture(none, [("a", 1.0, 2)]).collect() == [] and mx.shortages(none, [("a", 1.0, 2)]).first().missing_tokens == 0
     assert mx.targets_of(spark.createDataFrame([(" A", 0.5, None)], "source string, target_share double, max_repeats int")) == [("a", 0.5, 1)]
+
+
+def test_copies_belong_to_all_their_sources(spark):
+    rows = [(1, "one two three", " A"), (2, "one two three", "b "), (3, "one two three", "a"), (4, "four", None), (5, None, "a"), (6, "", "b"), (7, "five six", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.pattern, r.tokens) for r in mx.pooled(df).collect()}
+    assert set(got) == {1, 4, 6, 7} and got[1][0] == "a|b" and got[4][0] is None and got[7][0] is None and got[6] == ("b", 0)
+    docs = spark.createDataFrame([(i, "a|b", 10) for i in range(10)] + [(100 + i, "a", 10) for i in range(5)], "doc_id long, pattern string, tokens long")
+    rows = {r.source: r for r in mx.shortages(docs, [("a", 0.4, 1), ("b", 0.6, 1)]).collect()}
+    # b can only have what both have, so a takes its own
+    assert rows["b"].routed_tokens == 90 and rows["a"].routed_tokens == 60
+    check = mx.mixture_check(docs, [("a", 0.4, 1), ("b", 0.6, 1)]).collect()
+    assert all(r.within_a_document and r.within_repeats for r in check)

@@ -110,4 +110,5 @@ def test_mappings_start_and_end_at_runs():
     one = m.Model()
     text = "plain-Ã¼ber\\ordner\\fÃ¼r"
     runs = one.runs(text, one.lack(text)[1])
-    assert all(text[a] >= "\x80" or text[b - 1] >= "\x80" for a, b in runs) and len(runs) >= 1
+    assert runs and all(any(c >= "\x80" for c in text[a:b]) and not (text[a] < "\x80" and text[a].isalnum()) for a, b in runs)
+    assert {i for i, c in enumerate(text) if c >= "\x80"} <= {i for a, b in runs for i in range(a, b)}
