@@ -294,6 +294,13 @@ def json_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
+def iso_text(c: Column) -> Column:
+    """A date or time as ISO text, with microseconds only where there are any."""
+    whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.date_format(c, "SSSSSS")
+    return F.when(part == "000000", whole).otherwise(F.concat(whole, F.lit("."), part))
+
+
 def ascii_json(c: Column) -> Column:
     """JSON text with all characters beyond ASCII as \\uXXXX of their UTF-16 units."""
     units = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), _utf16)

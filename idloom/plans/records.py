@@ -6,6 +6,7 @@ As in ``catalog``, watch lists are made from all observations.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from idloom.functions import scalars
@@ -14,6 +15,7 @@ from idloom.operators import identity, ingest, provenance, search
 from idloom.plans import catalog as c
 from idloom.session import Scratch, table
 from idloom.sources import crawl_source
+from idloom.sources.store import Store
 from idloom.streaming import crawl
 
 QUERIES: dict = {}
@@ -378,3 +380,31 @@ def a28_progress(spark, d):
 @query(f"WITH {_LATEST_FILES} SELECT item_identifier, name, {_NEEDS} AS needed FROM lf")
 def b20_needs_analysis(spark, d):
     return _queue(spark, d).select("item_identifier", "name", crawl.needs_analysis().alias("needed"))
+
+
+@query("SELECT id, size_bytes, crc32, md5, sha1, sha256, blake3 FROM ufid_file")
+def a24_snapshot(spark, d):
+    """All files written as two versions of a table and read again."""
+    kept = Store(spark, f"{Scratch(spark).root}/store")
+    files = table(spark, d, "ufid_file").select("id", "size_bytes", "crc32", "md5", "sha1", "sha256", "blake3")
+    kept.write("files", files.limit(0))
+    kept.write("files", files)
+    return kept.read("files")
+
+
+@query("SELECT item_identifier, name, strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(updated_at) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us(updated_at) % 1000000)::VARCHAR, 6, '0') END AS updated FROM ia_ingest_file")
+def i33_iso_times(spark, d):
+    return table(spark, d, "ia_ingest_file").select("item_identifier", "name", scalars.iso_text(F.col("updated_at")).alias("updated"))
+
+
+_LABELLED = f"WITH {c._MATCH}, h AS (SELECT alert_id, count(*) AS n FROM m WHERE alert_id % 5 = 3 GROUP BY 1), s AS (SELECT {c._KEYED} AS source_key, CASE WHEN source IS NULL THEN 'Manual' ELSE coalesce(nullif(source, ''), 'observation') END AS label, count(*) AS alert_count, coalesce(sum(h.n), 0)::BIGINT AS hit_count FROM a LEFT JOIN h ON h.alert_id = a.id WHERE a.id % 5 = 3 GROUP BY ALL)"
+
+
+@query(_LABELLED + " SELECT source_key, label, alert_count, hit_count, row_number() OVER (ORDER BY CASE WHEN source_key = 'manual' THEN 0 ELSE 1 END, lower(label), source_key)::INT AS place FROM s")
+def f5_ordered_sources(spark, d):
+    """One user's alert sources with their place in the list."""
+    a, links, stored = c._stored(spark, d)
+    mine = al.alert_sources(a, links.where("user_id = 3"), stored.where("user_id = 3")).drop("user_id")
+    order = Window.orderBy(F.when(F.col("source_key") == "manual", 0).otherwise(1), F.lower("label"), "source_key")
+    # one row a source
+    return al.ordered_sources(mine).withColumn("place", F.row_number().over(order))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from idloom.functions.hashes import clean_hash
 from idloom.functions.scalars import collection_key, collection_of, is_container_name, missing_identity, wants_scan
 from idloom.session import Scratch, partitions
+from idloom.sources import store
 
 ITEM_OPEN, ITEM_RETRY = ("discovered",), ("metadata_failed",)
 FILE_OPEN, FILE_RETRY = ("pending", "downloading"), ("failed", "skipped")
@@ -302,55 +303,20 @@ def run_stream(spark: SparkSession, source: DataFrame, state_dir: str, checkpoin
     n_parts = buckets or partitions(spark)
 
     def step(batch: DataFrame, n: int) -> None:
-        seen = [v for v in _versions(spark, state_dir) if v < n]
-        old = _version(spark, state_dir, seen[-1]) if seen else latest(batch, ["identifier"]).limit(0)
+        seen = [v for v in store.versions(spark, state_dir) if v < n]
+        old = store.version(spark, state_dir, seen[-1]) if seen else latest(batch, ["identifier"]).limit(0)
         path = f"{state_dir}/v{n}"
         merge_items(old, batch).repartition(n_parts, "identifier").write.mode("overwrite").parquet(path)
-        _mark(spark, state_dir, n)
-        for v in seen[:-1]:
-            _remove(spark, f"{state_dir}/mark-{v}")
-            _remove(spark, f"{state_dir}/v{v}")
+        store.mark(spark, state_dir, n)
+        store.drop_versions(spark, state_dir, seen[:-1])
 
     source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
 
 
-def _files(spark: SparkSession, path: str):
-    """(file system, path) of the JVM, which knows every scheme the session does."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _versions(spark: SparkSession, state_dir: str) -> list[int]:
-    """Numbers of the whole versions, in order."""
-    fs, p = _files(spark, state_dir)
-    if not fs.exists(p):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(p)]
-    return sorted(int(n.removeprefix("mark-")) for n in names if n.startswith("mark-") and n[5:].isdigit())
-
-
-def _version(spark: SparkSession, state_dir: str, n: int) -> DataFrame:
-    return spark.read.parquet(f"{state_dir}/v{n}")
-
-
-def _mark(spark: SparkSession, state_dir: str, n: int) -> None:
-    fs, making = _files(spark, f"{state_dir}/making-{n}")
-    done = _files(spark, f"{state_dir}/mark-{n}")[1]
-    fs.create(making, True).close()
-    if not fs.exists(done) and not fs.rename(making, done):
-        raise OSError(f"could not mark version {n}")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, p = _files(spark, path)
-    fs.delete(p, True)
-
-
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame | None:
     """The newest whole version; None only if there is none yet."""
-    seen = _versions(spark, state_dir)
-    return _version(spark, state_dir, seen[-1]) if seen else None
+    seen = store.versions(spark, state_dir)
+    return store.version(spark, state_dir, seen[-1]) if seen else None
 
 
 def clean_declared(files: DataFrame) -> DataFrame:

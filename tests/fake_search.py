@@ -6,3 +6,13 @@ def search(query, cursor, count):
 def record(identifier):
     body = {"gone": "[]", "bad": '{"error": "no rights"}', "odd": "5"}.get(identifier, '{"metadata": {"identifier": "%s"}}' % identifier)
     return 200, {}, body.encode()
+
+
+def service(kind, body):
+    import json
+
+    if body.get("value") == "broken":
+        return 500, {}, b""
+    if kind == "find_file_by_hash":
+        return 200, {}, json.dumps({"found": body["value"] == "a", "file": {"id": 7}}).encode()
+    return 200, {}, json.dumps(body, sort_keys=True).encode()

@@ -129,19 +129,19 @@ def test_a_batch_run_again_and_a_write_that_breaks(spark, tmp_path, monkeypatch)
     run()
     put("b", "two")
     # the write of the second version breaks before its mark is made
-    whole = crawl._mark
+    whole = crawl.store.mark
 
     def broken(*args):
         raise OSError("disk full")
 
-    monkeypatch.setattr(crawl, "_mark", broken)
+    monkeypatch.setattr(crawl.store, "mark", broken)
     try:
         run()
         raise AssertionError("no error")
     except Exception as e:
         assert "disk full" in str(e)
     assert rows() == {("a", "one")}
-    monkeypatch.setattr(crawl, "_mark", whole)
+    monkeypatch.setattr(crawl.store, "mark", whole)
     run()
     assert rows() == {("a", "one"), ("b", "two")}
     # as if the stream's checkpoint had been lost after the last batch: the batch runs again
@@ -158,7 +158,7 @@ def test_a_batch_run_again_and_a_write_that_breaks(spark, tmp_path, monkeypatch)
     assert rows() == {("a", "one"), ("b", "two"), ("c", "three")}
     assert len([n for n in os.listdir(state) if n.startswith("v")]) == 2
     # a damaged version is an error, never an empty state
-    newest = f"{state}/v{crawl._versions(spark, state)[-1]}"
+    newest = f"{state}/v{crawl.store.versions(spark, state)[-1]}"
     for n in os.listdir(newest):
         os.remove(f"{newest}/{n}")
     try:
