@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import mimetypes
 import re
 from urllib.parse import urlencode
 
@@ -199,10 +200,20 @@ def safe_component(c: Column) -> Column:
 
 
 def safe_path(identifier: Column, name: Column) -> Column:
-    """Where a download may go: safe components below the item's own folder."""
+    """Where a download may go: safe components below the item's own folder; null for
+    a name without any."""
     parts = F.filter(F.split(F.translate(name, "\\", "/"), "/"), lambda x: ~x.isin("", ".", ".."))
     clean = F.transform(parts, safe_component)
-    return F.concat_ws("/", safe_component(identifier), F.when(F.size(clean) > 0, F.array_join(clean, "/")).otherwise("_"))
+    return F.when(F.size(clean) > 0, F.concat_ws("/", safe_component(identifier), F.array_join(clean, "/")))
+
+
+def content_type(name: Column) -> Column:
+    """The media type a name's suffix tells, by the standard library's table; an
+    outer suffix of a compression is looked past."""
+    low = F.lower(name)
+    inner = F.regexp_replace(low, "(" + "|".join(re.escape(x) for x in sorted(mimetypes.encodings_map, key=len, reverse=True)) + ")$", "")
+    pairs = [x for k, v in sorted(mimetypes.types_map.items()) for x in (F.lit(k), F.lit(v))]
+    return F.try_element_at(F.create_map(*pairs), F.regexp_extract(F.regexp_extract(inner, r"([^/]*)$", 1), r"^\.*[^.].*?(\.[^.]+)$", 1))
 
 
 #: Where items are kept, and names of files a crawl target makes itself.
@@ -294,6 +305,11 @@ def json_list(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
+def expiry(now: Column, seconds: int) -> Column:
+    """When what begins now is over, as ISO text."""
+    return iso_text(now + F.make_interval(secs=F.lit(seconds)))
+
+
 def iso_text(c: Column) -> Column:
     """A date or time as ISO text, with microseconds only where there are any."""
     whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

@@ -45,7 +45,8 @@ def add_inputs(files: DataFrame, meta: DataFrame, members: DataFrame, inputs: Da
     members to their archives, and keep unreadable members as ``archive_error``
     metadata of the archive that holds them.
 
-    Inputs are opened in the order of their id, members by path. A null payload
+    Inputs are opened in the order of their id, members by path; an input's content
+    type is guessed by its name. A null payload
     is no input. Members without bytes (empty directories, errors) are no files.
     """
     scratch = Scratch(files.sparkSession)
@@ -55,7 +56,8 @@ def add_inputs(files: DataFrame, meta: DataFrame, members: DataFrame, inputs: Da
     real = scratch.save(real.withColumnRenamed("name", "display_name").withColumn("blake3", F.lit(None).cast("string")), "observed")
     none = F.lit(None).cast("string")
     clean = identity.cleaned(real)
-    entries = scalars.metadata_entries(F.col("display_name"), none, none, F.lit(None).cast(ENTRIES))
+    kind = F.when(F.col("path") == "", scalars.content_type(F.col("display_name")))
+    entries = scalars.metadata_entries(F.col("display_name"), none, kind, F.lit(None).cast(ENTRIES))
     done = identity.consolidate(files, meta, clean, entries)
     after = scratch.save(done.files, "files")
     ids = scratch.save(identity.probe(clean, after).select("input_id", "path", "file_id"), "ids")
@@ -67,6 +69,8 @@ def add_inputs(files: DataFrame, meta: DataFrame, members: DataFrame, inputs: Da
     links = inside.where("error is null and (file_id is not null or is_empty_directory)").select("parent_file_id", F.col("file_id").alias("child_file_id"), inner_path.alias("archive_path"))
     errors = inside.where("error is not null").select(F.col("parent_file_id").alias("file_id"), F.lit("text").alias("metadata_type"), F.lit("archive_error").alias("name"), F.col("error").alias("value"), inner_path.alias("notes"))
     names = ids.join(rows.select("input_id", "path", "name"), ["input_id", "path"]).where("name <> ''").select("file_id", F.lit("text").alias("metadata_type"), F.lit("filename").alias("name"), F.col("name").alias("value"), F.lit(None).cast("string").alias("notes"))
+    kinds = ids.join(rows.where("path = ''").select("input_id", "path", scalars.content_type(F.col("name")).alias("value")), ["input_id", "path"]).where("value is not null")
+    names = names.unionByName(kinds.select("file_id", F.lit("text").alias("metadata_type"), F.lit("content_type").alias("name"), "value", F.lit(None).cast("string").alias("notes")))
     fresh = identity.append_missing(meta.select("id", "file_id", "metadata_type", "name", "value", "notes"), names.unionByName(errors), ["file_id", "metadata_type", "name", "value", "notes"])
     return Added(after, report, fresh, containment.add_members(members, links))
 

@@ -182,8 +182,8 @@ def pages(search: Callable[[str, str | None, int], dict], query: str, cursor: st
 
 
 class SearchSource(DataSource):
-    """``spark.read.format("paged_search")``: option ``module`` names an importable
-    ``module:function`` for ``search(query, cursor, count)``, ``query`` the query.
+    """``spark.read.format("paged_search")``: option ``module`` names
+    ``module:function``, or ``file.py:function``, for ``search(query, cursor, count)``, ``query`` the query.
     Pages are at least ``least_wait`` seconds apart (0.25), and one that breaks is
     asked for again up to ``retries`` times (5)."""
 
@@ -202,10 +202,16 @@ class SearchSource(DataSource):
 
 
 def _search(options) -> Callable:
-    import importlib
-
-    module, _, fn = options["module"].partition(":")
-    return getattr(importlib.import_module(module), fn)
+    """The function that ``module`` names, as ``module:function`` or ``file.py:function``."""
+    import importlib.util
+
+    module, _, fn = options["module"].rpartition(":")
+    if not module.endswith(".py"):
+        return getattr(importlib.import_module(module), fn)
+    spec = importlib.util.spec_from_file_location("paged_search_module", module)
+    loaded = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(loaded)
+    return getattr(loaded, fn)
 
 
 def _paced(options) -> Callable:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.functions.hashes import clean_hash
+from idloom.functions.hashes import clean_hash, strip
 from idloom.functions.scalars import collection_key, collection_of, is_container_name, missing_identity, wants_scan
 from idloom.session import Scratch, partitions
 from idloom.sources import store
@@ -291,6 +291,37 @@ def with_aliases(checkpoints: DataFrame, query: str = "query") -> DataFrame:
     return checkpoints.unionByName(more).dropDuplicates(["crawl_key"])
 
 
+def discovered(found: DataFrame, query: str, now: Column) -> DataFrame:
+    """Rows of a paged search as discovered items; without an identifier there is none."""
+    name = strip(F.col("identifier"))
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    empty = lambda kind: F.lit(None).cast(kind)
+    return found.where(name != "").select(name.alias("identifier"), F.lit(query).alias("query"), text("title").alias("title"), text("mediatype").alias("mediatype"), F.lit("discovered").alias("status"), empty("string").alias("metadata_json"), F.lit(0).alias("attempts"), empty("string").alias("error"), now.alias("first_seen_at"), now.alias("updated_at"))
+
+
+def to_read(items: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """Discovered items whose record is still to be read."""
+    done = ("done", "metadata_done") + (() if retry_failed else ("metadata_failed", "failed"))
+    return items.where(~F.col("status").isin(*done))
+
+
+def remaining(most: int | None, processed: int, failed: int) -> int | None:
+    """How many more a budget lets through; null is no bound."""
+    return None if most is None else max(0, most - processed - failed)
+
+
+def crawl(spark: SparkSession, module: str, query: str, state_dir: str, checkpoint: str, now: Column, options: dict[str, str] | None = None) -> DataFrame:
+    """Page through a search, a page a batch, and merge what it finds into the state;
+    goes on after the last page that was merged. Gives the checkpoint row: the key,
+    the search, whether it came to its end, and how many items the state has of it."""
+    source = spark.readStream.format("paged_search").options(module=module, query=query, **(options or {})).load()
+    run_stream(spark, discovered(source, query, now), state_dir, checkpoint)
+    state = read_state(spark, state_dir)
+    found = state.where(F.col("query") == query).count() if state is not None else 0
+    rows = spark.createDataFrame([(query, query, None, True, found)], "crawl_key string, query string, cursor string, completed boolean, imported long")
+    return with_aliases(rows)
+
+
 def run_stream(spark: SparkSession, source: DataFrame, state_dir: str, checkpoint: str, buckets: int | None = None, trigger: dict | None = None) -> None:
     """Merge a stream of discovered items into the state kept in ``state_dir``.
 

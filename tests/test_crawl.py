@@ -194,3 +194,17 @@ def test_events_and_aliases(spark):
     assert crawl.events(rows, "info", F.lit("x"), None, F.lit(T[0])).first().details_json is None
     cp = spark.createDataFrame([("own", "collection:c", "cur", False), ("collection::d", "collection:d", None, True), ("t", "title:x", None, True)], "crawl_key string, query string, cursor string, completed boolean")
     assert {(r.crawl_key, r.cursor, r.completed) for r in crawl.with_aliases(cp).collect()} == {("own", "cur", False), ("collection::c", "cur", False), ("collection::d", None, True), ("t", None, True)}
+
+
+def test_a_search_is_crawled_to_its_end(spark, tmp_path):
+    spark.dataSource.register(SearchSource)
+    module = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fake_search.py") + ":search"
+    state, cp = str(tmp_path / "state"), str(tmp_path / "cp")
+    rows = crawl.crawl(spark, module, "collection:q", state, cp, F.lit(T[0]), {"least_wait": "0"})
+    first = {r.crawl_key: (r.completed, r.imported) for r in rows.collect()}
+    items = {r.identifier for r in crawl.read_state(spark, state).collect()}
+    assert items and set(first) == {"collection:q", "collection::q"} and all(v == (True, len(items)) for v in first.values())
+    assert crawl.to_read(crawl.read_state(spark, state)).count() == len(items)
+    assert crawl.remaining(None, 1, 1) is None and crawl.remaining(5, 2, 1) == 2 and crawl.remaining(2, 5, 0) == 0
+    odd = spark.createDataFrame([(" a ", "", "x"), ("", "t", "m"), (None, None, None)], "identifier string, title string, mediatype string")
+    assert [(r.identifier, r.title) for r in crawl.discovered(odd, "q", F.lit(T[0])).collect()] == [("a", None)]

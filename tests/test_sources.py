@@ -178,3 +178,21 @@ def test_item_files_and_search(spark):
     gate.wait()
     gate.wait()
     assert now[0] == 2.0
+
+
+def test_content_types_and_sniffing(spark):
+    import mimetypes
+
+    from pyspark.sql import functions as F
+
+    from idloom.functions import scalars
+
+    names = ["a.txt", "b.tar.gz", "C.PDF", "d", ".zip", "dir/e.json", "f.unknown", ""]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(scalars.content_type(F.col("n"))).collect()]
+    assert got == [mimetypes.guess_type(n)[0] for n in names]
+    assert archives.is_archive(_zip([("a", b"1")])) and archives.is_archive(_tar([("a", b"1")]), "x.bin") and archives.is_archive(b"x", "x.gz")
+    assert not archives.is_archive(b"plain", "x.txt") and not archives.is_archive(_zip([("a", b"1")]), "x.warc.gz")
+    paths = spark.createDataFrame([("i/d", "a\\b/../c.txt"), ("i", "../.."), ("con", "x")], "i string, n string")
+    assert [r[0] for r in paths.select(scalars.safe_path(F.col("i"), F.col("n"))).collect()] == ["i/d/a/b/c.txt", None, "_con/x"]
+    ends = spark.sql("select timestamp'2024-01-01 00:00:00' as t").select(scalars.expiry(F.col("t"), 90)).first()[0]
+    assert ends == "2024-01-01T00:01:30"
