@@ -8,14 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idloom.functions import scalars
+from idloom.functions import scalars, tables
 from idloom.operators import accounts, containment, ingest
 from idloom.operators import alerts as al
 from idloom.plans import catalog as c
 from idloom.plans import records as r
 from idloom.session import Scratch, table
 from idloom.sources import archives, hashing
-from idloom.streaming import crawl
+from idloom.sources.store import Store
+from idloom.streaming import crawl, targets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -270,3 +271,28 @@ def l_live_sessions(spark, d):
     """Orders as sessions: open ones of active accounts."""
     s = table(spark, d, "orders").select(F.col("o_orderkey").alias("token_hash"), F.col("o_custkey").cast("long").alias("user_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("revoked_at"), F.col("o_orderdate").alias("expires_at"))
     return accounts.live_sessions(s, _users(spark, d), F.lit("1996-01-01").cast("timestamp")).select("token_hash", "username")
+
+
+# -- extension points ------------------------------------------------------------------
+
+
+@query("SELECT doc_id // 50 AS archive, 'd' || (doc_id // 50) || '/' || doc_id || '.txt' AS path, strlen(text)::BIGINT AS size_bytes, sha1(text) AS sha1 FROM documents WHERE text IS NOT NULL")
+def k_archive_entries(spark, d):
+    """Members of packed documents by the table function, in SQL."""
+    tables.register(spark)
+    _packed(spark, d, 50, _zip, ".zip").createOrReplaceTempView("packed_documents")
+    return spark.sql("select p.id as archive, e.path, e.size_bytes, e.sha1 from packed_documents p, lateral archive_entries(p.payload, p.name) e")
+
+
+@query(f"WITH {c._IMPORT} SELECT (SELECT count(*) FROM s WHERE status = 'created') AS created, (SELECT count(*) FROM s WHERE status = 'error') AS errors, 0::BIGINT AS again")
+def k_store_target(spark, d):
+    """All observations put into a store that has the files, then once more: nothing is new."""
+    kept = Store(spark, f"{Scratch(spark).root}/target")
+    kept.write("files", table(spark, d, "ufid_file").select("id", "size_bytes", "crc32", "md5", "sha1", "sha256", "blake3"))
+    target = targets.StoreTarget(spark, kept, F.lit("2030-01-01").cast("timestamp"))
+    none = F.lit(None).cast("string")
+    entries = scalars.metadata_entries(F.col("display_name"), none, none, F.lit(None).cast(ingest.ENTRIES))
+    observed = c._observed(spark, d)
+    first, second = target.upsert(observed, entries), target.upsert(observed, entries)
+    n = first.agg(F.count_if(F.col("status") == "created").alias("created"), F.count_if(F.col("status") == "error").alias("errors"))
+    return n.crossJoin(F.broadcast(second.agg(F.count_if(F.col("status").isin("created", "enriched")).alias("again"))))

@@ -13,6 +13,8 @@ def service(kind, body):
 
     if body.get("value") == "broken":
         return 500, {}, b""
+    if kind == "upsert_file":
+        return 200, {}, b'{"id": 1, "created": true}'
     if kind == "find_file_by_hash":
         return 200, {}, json.dumps({"found": body["value"] == "a", "file": {"id": 7}}).encode()
     return 200, {}, json.dumps(body, sort_keys=True).encode()
